@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import byte_bpe, chat_format, exact_dedup, mixing, quality_rules, token_counts
+from linkloom.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, token_counts
 from linkloom.llm.common import documents
 
 
@@ -15,11 +15,15 @@ QUERIES = {
     "op2_byte_bpe": lambda spark, sf_dir: byte_bpe.op2(documents(spark, sf_dir)),
     "op3_chat_format": lambda spark, sf_dir: chat_format.op3(_conversations(spark, sf_dir)),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.op5(documents(spark, sf_dir)),
+    "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
+    "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
     "op9_quality_rules": lambda spark, sf_dir: quality_rules.op9(documents(spark, sf_dir)),
     "op10_token_counts": lambda spark, sf_dir: token_counts.op10(documents(spark, sf_dir)),
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
+    "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
