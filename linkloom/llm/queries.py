@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, token_counts
+from linkloom.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, substring_dedup, token_counts
 from linkloom.llm.common import documents
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_mixing": lambda spark, sf_dir: mixing.op1(documents(spark, sf_dir)),
     "op2_byte_bpe": lambda spark, sf_dir: byte_bpe.op2(documents(spark, sf_dir)),
     "op3_chat_format": lambda spark, sf_dir: chat_format.op3(_conversations(spark, sf_dir)),
+    "op4_substring_dedup": lambda spark, sf_dir: substring_dedup.op4(documents(spark, sf_dir)),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.op5(documents(spark, sf_dir)),
     "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
@@ -22,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
