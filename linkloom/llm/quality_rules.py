@@ -20,9 +20,9 @@ from linkloom.llm.common import checkpointed, words
 ACCURACY = 1000
 #: Interquartile ranges beyond the upper quartile that a ratio may lie, and the least spread that counts as one.
 REACH = 6.0
-LEAST_SPREAD = 0.02
+LEAST_SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.1, "repeat_ratio": 0.06, "word_length": 0.02}
 MIN_WORDS = 50
-RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+RATIOS = tuple(LEAST_SPREAD)
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bits for a word's place in the keys that find repeated windows; the rest hold a hash.
@@ -92,7 +92,7 @@ def adaptive_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = checkpointed(rows)
     quartiles = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in RATIOS]
     sketched = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(*quartiles)
-    spread = lambda c: F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(LEAST_SPREAD) * (F.lit(1.0) + F.col(c)[1]))
+    spread = lambda c: F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(LEAST_SPREAD[c]) * (F.lit(1.0) + F.col(c)[1]))
     limits = sketched.select(F.col("lang").alias("l"), F.col("source").alias("s"), *[(F.col(c)[1] + reach * spread(c)).alias(f"max_{c}") for c in RATIOS])
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits["l"]) & rows["source"].eqNullSafe(limits["s"]), "left").drop("l", "s")
     beyond = F.lit(False)
@@ -127,6 +127,6 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS
 q AS (SELECT lang, source, {", ".join(f"quantile_disc({c}, 0.25) AS {c}_1, quantile_disc({c}, 0.75) AS {c}_3" for c in RATIOS)}
       FROM f WHERE NOT base_failed GROUP BY lang, source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce({" OR ".join(f"{c} > {c}_3 + CAST({REACH} AS DOUBLE) * greatest({c}_3 - {c}_1, CAST({LEAST_SPREAD} AS DOUBLE) * (CAST(1.0 AS DOUBLE) + {c}_3))" for c in RATIOS)}, false) AS kept
+       NOT base_failed AND NOT coalesce({" OR ".join(f"{c} > {c}_3 + CAST({REACH} AS DOUBLE) * greatest({c}_3 - {c}_1, CAST({LEAST_SPREAD[c]} AS DOUBLE) * (CAST(1.0 AS DOUBLE) + {c}_3))" for c in RATIOS)}, false) AS kept
 FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source
 """
