@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, substring_dedup, token_counts
+from linkloom.llm import byte_bpe, chat_format, exact_dedup, kneser_ney, language_id, mixing, quality_rules, simhash, substring_dedup, token_counts
 from linkloom.llm.common import documents
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_substring_dedup": lambda spark, sf_dir: substring_dedup.op4(documents(spark, sf_dir)),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.op5(documents(spark, sf_dir)),
     "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
+    "op7_kneser_ney": lambda spark, sf_dir: kneser_ney.op7(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
     "op9_quality_rules": lambda spark, sf_dir: quality_rules.op9(documents(spark, sf_dir)),
     "op10_token_counts": lambda spark, sf_dir: token_counts.op10(documents(spark, sf_dir)),
