@@ -25,7 +25,7 @@ from functools import cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpointed, ship
+from linkloom.llm.common import checkpointed, pack, ship, unpack
 
 WINDOW, MINIMIZER = 13, 4
 #: Bytes of text whose windows are resolved among themselves first.
@@ -301,10 +301,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimizer: int = MINIM
     edges = rows.mapInArrow(_to_edges(window, minimizer, hot), ROWS)
     met = edges.repartition("key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(_to_spans, SPANS)
     # Paths: spans of one document and one source that touch, on one diagonal.
-    path = Window.partitionBy("doc", "row", "src", "src_row", F.col("src_start") - F.col("start")).orderBy("start")
+    met = met.withColumn("diagonal", F.col("src_start") - F.col("start"))
+    path = Window.partitionBy("doc", "row", "src", "src_row", "diagonal").orderBy("start")
     before = F.max(F.col("start") + F.col("n")).over(path.rowsBetween(Window.unboundedPreceding, -1))
     steps = met.withColumn("begins", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    steps = steps.withColumn("path", F.sum("begins").over(path.rowsBetween(Window.unboundedPreceding, 0))).withColumn("diagonal", F.col("src_start") - F.col("start"))
+    steps = steps.withColumn("path", F.sum("begins").over(path.rowsBetween(Window.unboundedPreceding, 0)))
     paths = steps.groupBy("doc", "row", "src", "src_row", "diagonal", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
     return paths.select("doc", "row", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("n"), "src", "src_row", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))
 
@@ -347,7 +348,7 @@ def _cut(with_text: bool):
                     close()
                     name, words, copies, cuts = (doc, row), [], 0, []
                 if kind == 0:
-                    words = words or (batch.column(8)[k].as_py() or "").encode().split()
+                    words = words or unpack(batch.column(8)[k].as_py()).split()
                     copies += 1
                 else:
                     if kind == 1:
@@ -367,9 +368,10 @@ _CUT = "kind int, doc long, row long, start int, n int, src long, src_row long,
 
 def _cut_texts(rows: DataFrame, spans: DataFrame, sources: DataFrame, with_text: bool = False) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
-    texts = rows.select(F.lit(0).alias("kind"), F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "row", none("int").alias("start"), none("int").alias("n"), none("long").alias("src"), none("long").alias("src_row"), none("int").alias("src_start"), "text")
-    remove = spans.select(F.lit(1), "doc", "row", "start", "n", "src", "src_row", "src_start", none("string"))
-    needed = sources.select(F.lit(2), "src", "src_row", "src_start", "n", none("long"), none("long"), none("int"), none("string"))
+    texts = rows.select(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "row", "text").mapInArrow(pack, "doc long, row long, packed binary")
+    texts = texts.select(F.lit(0).alias("kind"), "doc", "row", none("int").alias("start"), none("int").alias("n"), none("long").alias("src"), none("long").alias("src_row"), none("int").alias("src_start"), "packed")
+    remove = spans.select(F.lit(1), "doc", "row", "start", "n", "src", "src_row", "src_start", none("binary"))
+    needed = sources.select(F.lit(2), "src", "src_row", "src_start", "n", none("long"), none("long"), none("int"), none("binary"))
     dealt = texts.unionAll(remove).unionAll(needed).repartition("doc", "row").sortWithinPartitions("doc", "row", "kind")
     return dealt.mapInArrow(_cut(with_text), _CUT)
 
@@ -378,7 +380,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_words, n_removed, kept_sha256 of every row of df and, if asked for, the words that stay."""
     ship(df.sparkSession)
     text = F.col(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    doc = F.col(f"`{id_col}`").cast("long").alias("doc")
+    # Rows are told apart by their identifier and, only where identifiers repeat, a hash of their text.
+    unique = df.groupBy(doc).count().where("count > 1").isEmpty()
+    rows = df.select(doc, (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"))
     spans = checkpointed(repeated_spans(rows, window, minimizer))
     cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), with_text))
     source = cut.where("kind = 2").select(F.col("doc").alias("src"), F.col("row").alias("src_row"), F.col("start").alias("src_start"), "n", F.col("digest").alias("there"))
