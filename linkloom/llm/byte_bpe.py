@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from linkloom.llm.common import ship
 
 #: Texts are taken in blocks of about so many characters, and distinct pieces in blocks of so many bytes.
-TEXT_BLOCK = 4_000_000
+TEXT_BLOCK = 32_000_000
 PIECE_BLOCK = 500_000
 #: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps.
 LONG = 64
@@ -33,13 +33,28 @@ _PAIRS = """
           FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)) a
     JOIN merges m USING (pair)"""
 
-#: One contraction for each piece and step.
-_SHORT_STEP = f"""
-    SELECT c.step + 1, c.w, c.pos, CASE WHEN c.pos = b.place THEN b.best ELSE c.tok END
-    FROM t c
-    JOIN (SELECT w, min(key) >> 32 AS best, min(key) & 4294967295 AS place, min_by(gone, key) AS gone
-          FROM (SELECT w, (rank::BIGINT << 32) | place AS key, gone FROM ({_PAIRS})) GROUP BY w) b ON b.w = c.w
-    WHERE c.pos <> b.gone"""
+#: Short pieces: one contraction for each piece and step. A row knows its neighbour to the right (npos, ntok) and, as one
+#: number, the rank of their pair, its own place and the neighbour's; only rows beside a contraction look up a new rank.
+_SHORT = """
+    WITH RECURSIVE t(step, w, pos, tok, npos, ntok, key) AS (
+        SELECT 0, s.w, s.pos, s.tok, s.npos, s.ntok, (m.rank::BIGINT << 40) | (s.pos << 20) | s.npos
+        FROM seed s LEFT JOIN merges m ON m.pair = (s.tok::BIGINT << 20) | s.ntok
+        UNION ALL
+        SELECT c.step + 1, c.w, c.pos,
+               CASE WHEN c.pos = b.place THEN b.best ELSE c.tok END,
+               CASE WHEN c.pos = b.place THEN b.npos ELSE c.npos END,
+               CASE WHEN c.pos = b.place THEN b.ntok WHEN c.npos = b.place THEN b.best ELSE c.ntok END,
+               CASE WHEN c.pos = b.place THEN b.key WHEN c.npos = b.place THEN (m.rank::BIGINT << 40) | (c.pos << 20) | c.npos ELSE c.key END
+        FROM t c
+        JOIN (SELECT a.w, a.best, a.place, a.gone, g.npos, g.ntok, (m.rank::BIGINT << 40) | (a.place << 20) | g.npos AS key
+              FROM (SELECT w, k >> 40 AS best, (k >> 20) & 1048575 AS place, k & 1048575 AS gone
+                    FROM (SELECT w, min(key) AS k FROM t GROUP BY w) WHERE k IS NOT NULL) a
+              JOIN t g ON g.w = a.w AND g.pos = a.gone
+              LEFT JOIN merges m ON m.pair = (a.best << 20) | g.ntok) b ON b.w = c.w
+        LEFT JOIN merges m ON m.pair = CASE WHEN c.npos = b.place THEN (c.tok::BIGINT << 20) | b.best END
+        WHERE c.pos <> b.gone
+    )
+    SELECT w, pos, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
 
 #: All contractions of the least rank that cannot bring about a pair of a lesser one, else the leftmost alone.
 _HITS = f"""
@@ -49,33 +64,18 @@ _HITS = f"""
                 SELECT *, min(rank) OVER (PARTITION BY w) AS best FROM ({_PAIRS}))
             WHERE rank = best))
     WHERE CASE WHEN safe THEN in_run % 2 = 1 ELSE k = 1 END"""
-
-
-def _recursion(step: str) -> str:
-    return f"""
+_LONG = f"""
     WITH RECURSIVE t(step, w, pos, tok) AS (
         SELECT 0, w, pos, tok FROM seed
-        UNION ALL {step}
-    )
-    SELECT w, pos, tok, step FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
-
-
-_LONG_STEP = f"""
-    SELECT c.step + 1, c.w, c.pos, CASE WHEN c.role = 1 THEN c.rank ELSE c.tok END
-    FROM (
-        SELECT t.step, t.w, t.pos, t.tok, max(e.rank) AS rank, coalesce(max(e.role), 0) AS role
-        FROM t
-        JOIN (SELECT DISTINCT w FROM ({_HITS})) live ON live.w = t.w
-        LEFT JOIN (SELECT w, unnest([place, gone]) AS pos, rank, unnest([1, 2]) AS role FROM ({_HITS})) e ON e.w = t.w AND e.pos = t.pos
-        GROUP BY t.step, t.w, t.pos, t.tok) c
-    WHERE c.role <> 2 AND c.step < {ROUND}"""
-
-
-def _recursion(step: str) -> str:
-    return f"""
-    WITH RECURSIVE t(step, w, pos, tok) AS (
-        SELECT 0, w, pos, tok FROM seed
-        UNION ALL {step}
+        UNION ALL
+        SELECT c.step + 1, c.w, c.pos, CASE WHEN c.role = 1 THEN c.rank ELSE c.tok END
+        FROM (
+            SELECT t.step, t.w, t.pos, t.tok, max(e.rank) AS rank, coalesce(max(e.role), 0) AS role
+            FROM t
+            JOIN (SELECT DISTINCT w FROM ({_HITS})) live ON live.w = t.w
+            LEFT JOIN (SELECT w, unnest([place, gone]) AS pos, rank, unnest([1, 2]) AS role FROM ({_HITS})) e ON e.w = t.w AND e.pos = t.pos
+            GROUP BY t.step, t.w, t.pos, t.tok) c
+        WHERE c.role <> 2 AND c.step < {ROUND}
     )
     SELECT w, pos, tok, step FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
 
@@ -128,41 +128,48 @@ class Encoder:
 
         sizes = np.array([len(p) for p in pieces])
         flat = np.frombuffer(b"".join(pieces), np.uint8)
+        tok = self.byte[flat].astype(np.int64)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows = pa.table({"w": pa.array(np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)), "pos": pa.array(pos.astype(np.int64)), "tok": pa.array(self.byte[flat])})
+        last = pos == np.repeat(sizes, sizes) - 1
+        rows = pa.table({
+            "w": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), "pos": pos, "tok": tok,
+            "npos": np.where(last, -1, pos + 1), "ntok": np.where(last, -1, np.concatenate((tok[1:], [-1]))),
+        })
         if not long:
-            return self._run(_recursion(_SHORT_STEP), seed=rows).select(["w", "pos", "tok"])
+            return self._run(_SHORT, seed=rows)
         done = []
         while rows.num_rows:
-            out = self._run(_recursion(_LONG_STEP), seed=rows)
+            out = self._run(_LONG, seed=rows)
             more = out.column("step").to_numpy() >= ROUND
             done.append(out.filter(pa.array(~more)).select(["w", "pos", "tok"]))
             rows = out.filter(pa.array(more)).select(["w", "pos", "tok"])
         return pa.concat_tables([t.cast(done[0].schema) for t in done])
 
-    def pieces(self, pieces: list[str]) -> dict[str, tuple[int, str, bytes]]:
-        """For each distinct piece: the number of its tokens, their ids joined by spaces, the bytes they decode to."""
-        out, wait = {}, {False: [], True: []}
+    def pieces(self, pieces: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+        """For each distinct piece: its ids, joined by spaces, and the bytes that they decode to."""
+        ids_of, bytes_of = {}, {}
+        wait: dict[bool, list[str]] = {False: [], True: []}
         for p in pieces:
             b = p.encode()
             rank = self.ranks.get(b)
             if rank is not None:
-                out[p] = (1, str(rank), b)
+                ids_of[p], bytes_of[p] = str(rank), b
             else:
-                wait[len(b) > LONG].append((p, b))
+                wait[len(b) > LONG].append(p)
         for long, todo in wait.items():
-            block, size = [], 0
-            for item in [*todo, None]:
-                if block and (item is None or size + len(item[1]) > PIECE_BLOCK):
-                    rows = self._fixpoint([b for _, b in block], long)
-                    got = self._run("SELECT w, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN vocabulary USING (tok) GROUP BY w", rows=rows)
-                    for w, n, ids, hexed in zip(*(got.column(c).to_pylist() for c in ("w", "n", "ids", "hex"))):
-                        out[block[w][0]] = (n, ids, bytes.fromhex(hexed))
-                    block, size = [], 0
-                if item is not None:
-                    block.append(item)
-                    size += len(item[1])
-        return out
+            at = 0
+            while at < len(todo):
+                block, size = [], 0
+                while at < len(todo) and (not block or size + len(todo[at]) <= PIECE_BLOCK):
+                    block.append(todo[at].encode())
+                    size += len(block[-1])
+                    at += 1
+                rows = self._fixpoint(block, long)
+                got = self._run("SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN vocabulary USING (tok) GROUP BY w ORDER BY w", rows=rows)
+                names = todo[at - len(block) : at]
+                ids_of.update(zip(names, got.column("ids").to_numpy()))
+                bytes_of.update(zip(names, map(bytes.fromhex, got.column("hex").to_numpy())))
+        return ids_of, bytes_of
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -212,15 +219,15 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
         encoder, split = None, splitter(pattern)
         for block in _blocks(batches, 2):
             encoder = encoder or Encoder(ranks)
-            texts = [split(text) if text else [] for _, text in block]
-            known = encoder.pieces(list(set().union(*texts)))
+            one: dict[str, str] = {}  # a string for each distinct piece, however often it occurs
+            texts = [[one.setdefault(p, p) for p in split(text)] if text else [] for _, text in block]
+            ids_of, bytes_of = encoder.pieces(list(one))
             columns: dict[str, list] = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
             for (key, _), pieces in zip(block, texts):
-                found = [known[p] for p in pieces]
-                ids = " ".join([f[1] for f in found])
-                decoded = b"".join([f[2] for f in found])
+                ids = " ".join(map(ids_of.__getitem__, pieces))
+                decoded = b"".join(map(bytes_of.__getitem__, pieces))
                 columns["id"].append(key)
-                columns["n_tokens"].append(sum([f[0] for f in found]))
+                columns["n_tokens"].append(ids.count(" ") + bool(ids))
                 columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 columns["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
