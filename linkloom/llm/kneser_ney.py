@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpointed, ship
+from linkloom.llm.common import checkpointed, pack, ship, unpack
 from linkloom.llm.language_id import held_out
 
 ORDER = 4
@@ -32,6 +32,9 @@ ORDER = 4
 LOW, HIGH = 0.005, 0.995
 WIDEN_LOW, WIDEN_HIGH = 1.0, 3.0  # a text that is too predictable is less suspect than one that is too odd
 PRIOR = 200.0
+#: The least spread that counts, and how many trusted documents more must be left out for the quantiles to be trusted:
+#: the ranges are widened by FEW / their number besides.
+LEAST_SPREAD, FEW = 0.03, 20.0
 #: Bytes of text in a group that is scored together, where an input file has more (about).
 GROUP = 256_000_000
 
@@ -47,40 +50,54 @@ def _grams(text: bytes, order: int):
     return out
 
 
-def _pack(batches):
-    """The last column, a text, as zstd-compressed UTF-8: what moves between executors is a third of it."""
-    import pyarrow as pa
+#: n-grams that wait for being counted, and counted ones that a task holds, before it passes them on.
+WAITING, HELD = 2_000_000, 2_000_000
 
-    for batch in batches:
-        texts = [None if t is None else t.encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
-        packed = [None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
-
-def _unpack(packed: bytes | None) -> bytes:
-    import pyarrow as pa
-
-    return b"" if packed is None else pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _count(order: int, unpack: bool):
-    """(*names, text) -> (*names, gram, n): n-grams of each batch, combined over rows with equal names."""
+def _count(order: int, packed: bool):
+    """(*names, text) -> (*names, gram, n): n-grams of a task's rows, combined over rows with equal names."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            groups: dict[tuple, list] = {}
-            for *key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text = _unpack(text) if unpack else (text or "").encode()
-                if text:
-                    groups.setdefault(tuple(key), []).append(_grams(text, order))
-            for key, parts in groups.items():
+        waiting: dict[tuple, list] = {}
+        held: dict[tuple, tuple] = {}
+        n_waiting, schema = 0, None
+
+        def count():
+            for key, parts in waiting.items():
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                columns = [pa.array([k] * len(values), batch.schema.field(i).type) for i, k in enumerate(key)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values), pa.array(counts)], names=[*names, "gram", "n"])
+                if key in held:
+                    values, back = np.unique(np.concatenate((held[key][0], values)), return_inverse=True)
+                    counts = np.bincount(back, np.concatenate((held[key][1], counts))).astype(np.int64)
+                held[key] = values, counts
+            waiting.clear()
+
+        def ready():
+            for key, (values, counts) in held.items():
+                columns = [pa.array([k] * len(values), f.type) for k, f in zip(key, schema)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values), pa.array(counts)], names=[*schema.names[:-1], "gram", "n"])
+            held.clear()
+
+        for batch in batches:
+            schema = batch.schema
+            names = [c.to_pylist() for c in batch.columns[:-1]]
+            for k, text in enumerate(batch.columns[-1]):
+                text = unpack(text.as_py()) if packed else (text.as_py() or "").encode()
+                for at in range(0, len(text), WAITING):
+                    found = _grams(text[max(0, at - order + 1) : at + WAITING], order)
+                    if at:
+                        found = found[order - 1 :]  # those of the bytes that came before
+                    waiting.setdefault(tuple(n[k] for n in names), []).append(found)
+                    n_waiting += len(found)
+                    if n_waiting >= WAITING:
+                        count()
+                        n_waiting = 0
+                        if sum(len(v) for v, _ in held.values()) >= HELD:
+                            yield from ready()
+        count()
+        yield from ready()
 
     return run
 
@@ -163,7 +180,7 @@ def _score(order: int):
                         place = np.argsort(grams)
                         tables[lang] = grams[place], logs[place]
                 for key, lang, packed in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), some.column(4)):
-                    text = _unpack(packed.as_py())
+                    text = unpack(packed.as_py())
                     log_p = None
                     if text and lang in tables:
                         grams, logs = tables[lang]
@@ -194,7 +211,7 @@ def score(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], langs: DataFr
     told = asked.join(p, asked["lang"].eqNullSafe(p["l"]) & (asked["gram"] == p["g"]))
     none = lambda kind: F.lit(None).cast(kind)
     told = told.select("part", F.lit(0).alias("kind"), none("long").alias("id"), "lang", none("binary").alias("packed"), "gram", F.log("p").alias("log_p"))
-    texts = rows.select("part", "id", "lang", "text").mapInArrow(_pack, "part long, id long, lang string, packed binary")
+    texts = rows.select("part", "id", "lang", "text").mapInArrow(pack, "part long, id long, lang string, packed binary")
     texts = texts.select("part", F.lit(1), "id", "lang", "packed", none("long"), none("double"))
     met = told.unionAll(texts).repartition("part").sortWithinPartitions("part", "kind")
     return met.mapInArrow(_score(order), "id long, lang string, n_bytes long, log_p double")
@@ -205,7 +222,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(df.sparkSession)
     trusted = F.col("quality") == 1 if trusted is None else trusted
     good = labels.where(trusted).select(F.col(id_col).alias("good")).distinct()
-    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(~held_out(F.col("id"))).mapInArrow(_pack, "id long, lang string, packed binary")
+    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(~held_out(F.col("id"))).mapInArrow(pack, "id long, lang string, packed binary")
     fit = packed.join(good.where(~held_out(F.col("good"))), F.col("id") == F.col("good"), "left_semi").select("lang", "packed")
     counts = fit.mapInArrow(_count(order, True), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = train(counts, order)
@@ -219,9 +236,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows = rows.join(middle, rows["lang"].eqNullSafe(middle["m"]), "left").drop("m")
         return rows.withColumn("steady", (F.col("log_p") * F.col("n_bytes") + PRIOR * F.coalesce("middle", "log_p")) / (F.col("n_bytes") + PRIOR))
 
-    q = steadied(left_out).groupBy("lang").agg(F.percentile_approx("steady", [LOW, 0.25, 0.75, HIGH], 1000).alias("q"))
-    spread = F.col("q")[2] - F.col("q")[1]
-    limits = q.select(F.col("lang").alias("l"), (F.col("q")[0] - WIDEN_LOW * spread).alias("low"), (F.col("q")[3] + WIDEN_HIGH * spread).alias("high"))
+    q = steadied(left_out).groupBy("lang").agg(F.percentile_approx("steady", [LOW, 0.25, 0.75, HIGH], 1000).alias("q"), F.count("*").alias("n"))
+    spread = F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(LEAST_SPREAD))
+    wide = lambda by: (by + FEW / F.col("n")) * spread
+    limits = q.select(F.col("lang").alias("l"), (F.col("q")[0] - wide(WIDEN_LOW)).alias("low"), (F.col("q")[3] + wide(WIDEN_HIGH)).alias("high"))
     out = steadied(scored)
     out = out.join(limits, out["lang"].eqNullSafe(limits["l"]), "left").drop("l")
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("steady").between(F.col("low"), F.col("high")), F.lit(True))

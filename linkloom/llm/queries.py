@@ -26,7 +26,5 @@ QUERIES = {
 ORACLE = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
-    "op6_language_id": lambda spark, sf_dir: language_id.op6(documents(spark, sf_dir)),
-    "op8_simhash": lambda spark, sf_dir: simhash.op8(documents(spark, sf_dir)),
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
