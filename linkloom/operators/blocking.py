@@ -30,6 +30,15 @@ def union(*edges: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def checked_union(spine: DataFrame, *edges: DataFrame) -> DataFrame:
+    """union, after making sure that every pair's S1 entity is in the spine."""
+    out = union(*edges)
+    unknown = out.join(spine, "s1_id", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown S1 entity: {unknown[0]['s1_id']}")
+    return out
+
+
 def exact(records: DataFrame, key: Column, guarded: bool = True) -> DataFrame:
     """Equal keys; empty ones match each other unless guarded."""
     rows = records.withColumn("key", key)

@@ -26,13 +26,17 @@ def overmatched(spine_counts: DataFrame) -> DataFrame:
     return spine_counts.where((F.col("n_true") > 0) & (F.col("n_pred") > F.col("n_true")) & (F.col("tp") > 0))
 
 
-def overmatch_report(counts: DataFrame, predicted: DataFrame, truth: DataFrame, scored: DataFrame) -> DataFrame:
-    """The predictions of overmatched entities, with score and whether they are true; true ones first."""
+def overmatch_report(counts: DataFrame, predicted: DataFrame, truth: DataFrame, scored: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """The predictions of overmatched entities, with score, features if given, and whether they are true; true ones first."""
     key = ["s1_id", "cand_id"]
     rows = predicted.select(*key).distinct().join(overmatched(counts).select("s1_id"), "s1_id", "left_semi")
     rows = rows.join(truth.select(*key).distinct().withColumn("t", F.lit(1)), key, "left").join(scored.select(*key, "score"), key, "left")
     kind = F.when(F.col("t").isNotNull(), "TRUE_MATCH").otherwise("FALSE_MATCH")
-    return rows.select(*key, "score", kind.alias("match_type")).orderBy("s1_id", "match_type", F.desc("score"))
+    extra = []
+    if features is not None:
+        extra = [c for c in features.columns if c not in key]
+        rows = rows.join(features, key, "left")
+    return rows.select(*key, "score", *extra, kind.alias("match_type")).orderBy("s1_id", "match_type", F.desc("score"))
 
 
 def missed_pairs(truth: DataFrame, edges: DataFrame, ref: DataFrame) -> DataFrame:

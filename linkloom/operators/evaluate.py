@@ -118,6 +118,20 @@ def compare_blockers(truth: DataFrame, first: DataFrame, second: DataFrame) -> D
     return hit.select("*", both.alias("union_hits"), (both / F.col("true_pairs")).alias("union_recall"), (F.lit(100.0) * F.col("second_only") / F.col("true_pairs")).alias("gain_points"))
 
 
+def report(spine: DataFrame, truth: DataFrame, candidates: DataFrame | None = None, predicted: DataFrame | None = None, scored: DataFrame | None = None, steps: list[float] | None = None) -> dict[str, DataFrame]:
+    """All evaluations that the given tables allow, by name."""
+    out = {}
+    if candidates is not None:
+        out["blocking_recall"] = blocking_recall(spine, truth, candidates)
+    if predicted is not None:
+        scores = entity_scores(spine, truth, predicted)
+        out |= {"scores": scores, "macro": macro(scores), "buckets": bucket_summary(bucketed(scores))}
+    if scored is not None:
+        out["sweep"] = sweep(spine, truth, scored, steps or thresholds("0.10", "0.99", "0.01"))
+        out["best"] = best(out["sweep"])
+    return out
+
+
 def candidate_quantiles(spine: DataFrame, edges: DataFrame, covered_only: bool, points: tuple = (0.5, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
     """Exact quantiles of candidates per S1 entity: one row for each point, and the maximum as point 1."""
     counts = edges.groupBy("s1_id").agg(F.count("*").alias("n"))

@@ -244,6 +244,9 @@ ORACLE = {
     "block_f2": _with({}, "SELECT s1_id, cand_id FROM f2"),
     "block_f2_pilot": _with({}, f"SELECT l.entity_id AS s1_id, r.entity_id AS cand_id FROM ps1 l JOIN pref r USING (country, token) GROUP BY ALL HAVING count(DISTINCT token) >= {PILOT['min_shared']}"),
     "block_union": _with(_UNION, "SELECT s1_id, cand_id FROM v1_f2"),
+    "s1_budget": _with({}, "SELECT s1_id FROM spine ORDER BY s1_id LIMIT 25"),
+    "union_checked": _with(_UNION, "SELECT s1_id, cand_id FROM v1_f2"),
+    "report_sweep": _with(_V1, f"{_SWEEP} ORDER BY macro_f0_5 DESC, threshold LIMIT 1"),
     "candidates_added": _with(_UNION, "SELECT s1_id, cand_id FROM f2 ANTI JOIN edges USING (s1_id, cand_id)"),
     "candidate_lists": _with(_UNION, "SELECT s1_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS candidate_entity_ids FROM spine LEFT JOIN v1_f2 USING (s1_id) GROUP BY s1_id"),
     "id_lists": _with(_UNION, "SELECT s1_id, cand_id FROM v1_f2"),

@@ -165,6 +165,9 @@ _OF: dict[str, Callable[[_Tables], DataFrame]] = {
     "block_f2": lambda t: t.f2,
     "block_f2_pilot": lambda t: blocking.purged_address_tokens(t.rec, **PILOT),
     "block_union": _union,
+    "s1_budget": lambda t: split.budget(t.spine, 25),
+    "union_checked": lambda t: blocking.checked_union(t.spine, t.v1, t.f2),
+    "report_sweep": lambda t: evaluate.report(t.spine, t.truth, scored=t.scored(t.v1), steps=THRESHOLDS)["best"],
     "candidates_added": lambda t: t.f2.join(t.v1, ["s1_id", "cand_id"], "left_anti"),
     "candidate_lists": lambda t: evaluate.wide(t.spine, _union(t), "candidate_entity_ids"),
     "id_lists": _id_lists,

@@ -52,7 +52,7 @@ def test_empty_tables(spark):
     spine = spark.createDataFrame([], "s1_id string")
     edges = spark.createDataFrame([], "s1_id string, cand_id string")
     assert evaluate.entity_scores(spine, edges, edges).count() == 0
-    assert evaluate.blocking_recall(spine, edges, edges).first()["recall"] == 0.0 if evaluate.blocking_recall(spine, edges, edges).first() else True
+    assert evaluate.blocking_recall(spine, edges, edges).first()["recall"] == 0.0
     assert split.split(spine).count() == 0
 
 
@@ -66,6 +66,20 @@ def test_entity_scores(spark):
     assert kinds == {"a": "singleton_correct", "b": "singleton_false_positive", "c": "nonsingleton_mixed_errors", "d": "nonsingleton_total_miss", "e": "nonsingleton_correct"}
 
 
+def test_report_and_checked_union(spark):
+    spine = spark.createDataFrame([("a",), ("b",)], "s1_id string")
+    edges = spark.createDataFrame([("a", "1"), ("a", "2")], "s1_id string, cand_id string")
+    scored = edges.withColumn("score", F.lit(0.7))
+    out = evaluate.report(spine, edges, edges, edges, scored)
+    assert set(out) == {"blocking_recall", "scores", "macro", "buckets", "sweep", "best"}
+    assert out["best"].first()["macro_f0_5"] == 1.0 and out["best"].first()["threshold"] == 0.1
+    assert blocking.checked_union(spine, edges, edges).count() == 2
+    with pytest.raises(ValueError, match="unknown S1"):
+        blocking.checked_union(spine.where("s1_id = 'b'"), edges)
+    counts = evaluate.entity_counts(spine, edges.limit(1), edges)
+    assert diagnose.overmatch_report(counts, edges, edges.limit(1), scored, scored.withColumnRenamed("score", "x")).columns == ["s1_id", "cand_id", "score", "x", "match_type"]
+
+
 def test_thresholds():
     assert evaluate.thresholds("0.10", "0.90", "0.05") == [round(0.1 + 0.05 * i, 4) for i in range(17)]
 

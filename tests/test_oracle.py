@@ -1,7 +1,7 @@
 """Every query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import rows_of, rows_of_sql
+from helpers import rows_of, rows_of_sql
 
 from linkloom.plans.oracle import ORACLE
 from linkloom.plans.queries import QUERIES
