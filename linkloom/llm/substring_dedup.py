@@ -29,7 +29,7 @@ from linkloom.llm.common import checkpointed, pack, ship, unpack
 
 WINDOW, MINIMIZER = 13, 4
 #: Bytes of text whose windows are resolved among themselves first.
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 #: Bytes of text that hashes are made of at once.
 PIECE = 4_000_000
 #: Bytes of a window's own hash, beside the 64 bits of its minimizer's.
@@ -187,15 +187,18 @@ def _to_edges(window: int, minimizer: int, hot):
             source = np.empty(len(order), np.int64)
             source[order] = order[begins][np.cumsum(begins) - 1]
             known = ids[text[source]] < ids[text]
+            # A window that its own text has had before is left to _cut, which treats equal windows of a text alike.
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = ~begins[1:] & (text[order][1:] == text[order][:-1])
             # Spans: windows that follow one another, here and at the source.
-            w = np.flatnonzero(known)
+            w = np.flatnonzero(known & ~again)
             if len(w):
                 s = source[w]
                 a, b = _runs((np.diff(w) == 1) & (text[w][1:] == text[w][:-1]) & (np.diff(s) == 1) & (text[s][1:] == text[s][:-1]))
                 x, y = w[a], s[a]
                 yield _rows(_mix(both[x]).view(np.int64), ids[text[x]], rows[text[x]], start[x], b - a, None, ids[text[y]], rows[text[y]], start[y])
             # The others, by occurrence of a minimizer; windows of hot ones each by itself.
-            w = np.flatnonzero(~known)
+            w = np.flatnonzero(~known & ~again)
             if not len(w):
                 continue
             is_hot = np.isin(least[w], hot) if len(hot) else np.zeros(len(w), bool)
@@ -314,7 +317,22 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _cut(with_text: bool):
+def _everywhere(text: bytes, cuts: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """The spans of words that the cuts' windows cover wherever in the text they occur."""
+    import numpy as np
+
+    if not cuts:
+        return []
+    tag = _rolled(word_hashes(text)[0], window, 0xD6E8FEB86659FD93)
+    marked = np.zeros(len(tag), bool)
+    for a, b in cuts:
+        marked[a : b - window + 1] = True
+    starts = np.flatnonzero(np.isin(tag, tag[marked]))
+    a, b = _runs(np.diff(starts) <= window)
+    return list(zip(starts[a].tolist(), (starts[b - 1] + window).tolist()))
+
+
+def _cut(with_text: bool, window: int):
     """Over rows sorted by doc, row, kind (0 text, 1 span to remove, 2 span that is a source): a row for each text and,
     for each span of either kind, its digest."""
 
@@ -323,18 +341,18 @@ def _cut(with_text: bool):
 
         schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("src_row", pa.int64()), ("src_start", pa.int32()), ("digest", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
         out: list[tuple] = []
-        name, words, copies, cuts = None, [], 0, []
+        name, text_of, words, copies, cuts = None, b"", [], 0, []
 
         def close():
             if name is None:
                 return
             kept, at, removed = [], 0, 0
-            for a, b in sorted(cuts):
+            for a, b in sorted(_everywhere(text_of, cuts, window)):
                 kept += words[at : max(at, a)]
                 removed += max(0, b - max(at, a))
                 at = max(at, b)
-            text = b" ".join(kept + words[at:])
-            out.extend([(0, *name, None, None, None, None, None, None, len(words), removed, text.decode() if with_text else None, hashlib.sha256(text).hexdigest())] * copies)
+            left = b" ".join(kept + words[at:])
+            out.extend([(0, *name, None, None, None, None, None, None, len(words), removed, left.decode() if with_text else None, hashlib.sha256(left).hexdigest())] * copies)
 
         def ready():
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -346,9 +364,11 @@ def _cut(with_text: bool):
             for k, (kind, doc, row, start, n, src, src_row, src_start) in enumerate(zip(*columns)):
                 if (doc, row) != name:
                     close()
-                    name, words, copies, cuts = (doc, row), [], 0, []
+                    name, text_of, words, copies, cuts = (doc, row), b"", [], 0, []
                 if kind == 0:
-                    words = words or unpack(batch.column(8)[k].as_py()).split()
+                    if not copies:
+                        text_of = unpack(batch.column(8)[k].as_py())
+                        words = text_of.split()
                     copies += 1
                 else:
                     if kind == 1:
@@ -366,14 +386,14 @@ def _cut(with_text: bool):
 _CUT = "kind int, doc long, row long, start int, n int, src long, src_row long, src_start int, digest binary, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
-def _cut_texts(rows: DataFrame, spans: DataFrame, sources: DataFrame, with_text: bool = False) -> DataFrame:
+def _cut_texts(rows: DataFrame, spans: DataFrame, sources: DataFrame, window: int, with_text: bool) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     texts = rows.select(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "row", "text").mapInArrow(pack, "doc long, row long, packed binary")
     texts = texts.select(F.lit(0).alias("kind"), "doc", "row", none("int").alias("start"), none("int").alias("n"), none("long").alias("src"), none("long").alias("src_row"), none("int").alias("src_start"), "packed")
     remove = spans.select(F.lit(1), "doc", "row", "start", "n", "src", "src_row", "src_start", none("binary"))
     needed = sources.select(F.lit(2), "src", "src_row", "src_start", "n", none("long"), none("long"), none("int"), none("binary"))
     dealt = texts.unionAll(remove).unionAll(needed).repartition("doc", "row").sortWithinPartitions("doc", "row", "kind")
-    return dealt.mapInArrow(_cut(with_text), _CUT)
+    return dealt.mapInArrow(_cut(with_text, window), _CUT)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimizer: int = MINIMIZER, with_text: bool = False) -> DataFrame:
@@ -385,14 +405,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unique = df.groupBy(doc).count().where("count > 1").isEmpty()
     rows = df.select(doc, (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"))
     spans = checkpointed(repeated_spans(rows, window, minimizer))
-    cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), with_text))
+    cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), window, with_text))
     source = cut.where("kind = 2").select(F.col("doc").alias("src"), F.col("row").alias("src_row"), F.col("start").alias("src_start"), "n", F.col("digest").alias("there"))
     misled = cut.where("kind = 1").join(source, ["src", "src_row", "src_start", "n"], "left").where(~F.col("digest").eqNullSafe(F.col("there")))
     misled = misled.select("doc", "row", "start", "n", "src", "src_row", "src_start")
     result = cut.where("kind = 0")
     if not misled.isEmpty():
         good = spans.join(misled, spans.columns, "left_anti")
-        result = _cut_texts(rows, good, good.limit(0), with_text).where("kind = 0")
+        result = _cut_texts(rows, good, good.limit(0), window, with_text).where("kind = 0")
     return result.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
 
 
