@@ -31,9 +31,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Of so many folds, one is held out.
+FOLDS = 5
+
+
+def held_out(id_col: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == 0
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per SparkContext."""
+    """Make this package importable in the executors' Python, once per SparkContext, and keep batches of texts small
+    unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     if sc in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -72,8 +83,11 @@ def pack(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts = [None if t is None else t.encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
-        packed = [None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+        packed = []
+        for text in batch.columns[-1]:
+            text = text.as_py()
+            data = None if text is None else text.encode()
+            packed.append(None if data is None else len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
 

@@ -1,6 +1,6 @@
 """A quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-Training counts n-grams of the trusted documents of each language, by map-side combined sums. Lower orders count the
+Training counts n-grams of trusted documents of each language (a sample of bounded size), by map-side combined sums. Lower orders count the
 distinct n-grams that extend them to the left; discounts for counts of one, two, and three or more follow, for each
 language and order, from the counts of counts.
 
@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpointed, pack, ship, unpack
-from linkloom.llm.language_id import held_out
+from linkloom.llm.common import checkpointed, held_out, pack, ship, unpack
 
 ORDER = 4
+#: Trusted documents that a model is fitted on (about), of all languages together; drawn by a digest of the identifier.
+TRAIN_DOCS = 30_000
 #: Quantiles of a language's trusted documents, and the interquartile ranges that they are widened by.
 LOW, HIGH = 0.005, 0.995
 WIDEN_LOW, WIDEN_HIGH = 1.0, 3.0  # a text that is too predictable is less suspect than one that is too odd
@@ -51,7 +52,14 @@ def _grams(text: bytes, order: int):
 
 
 #: n-grams that wait for being counted, and counted ones that a task holds, before it passes them on.
-WAITING, HELD = 2_000_000, 2_000_000
+WAITING, HELD = 500_000, 2_000_000
+
+
+def _grams_in_parts(text: bytes, order: int):
+    """_grams, for texts of any length."""
+    for at in range(0, len(text), WAITING):
+        found = _grams(text[max(0, at - order + 1) : at + WAITING], order)
+        yield found[order - 1 :] if at else found  # without those of the bytes that came before
 
 
 def _count(order: int, packed: bool):
@@ -85,10 +93,7 @@ def _count(order: int, packed: bool):
             names = [c.to_pylist() for c in batch.columns[:-1]]
             for k, text in enumerate(batch.columns[-1]):
                 text = unpack(text.as_py()) if packed else (text.as_py() or "").encode()
-                for at in range(0, len(text), WAITING):
-                    found = _grams(text[max(0, at - order + 1) : at + WAITING], order)
-                    if at:
-                        found = found[order - 1 :]  # those of the bytes that came before
+                for found in _grams_in_parts(text, order):
                     waiting.setdefault(tuple(n[k] for n in names), []).append(found)
                     n_waiting += len(found)
                     if n_waiting >= WAITING:
@@ -102,49 +107,56 @@ def _count(order: int, packed: bool):
     return run
 
 
-def train(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """(lang, gram, n) of the highest order -> for each order from 1: (lang, gram, alpha) and (lang, context, gamma)."""
-    out = []
-    types = checkpointed(counts)
-    for n in range(order, 0, -1):
-        k = F.least(F.col("n"), F.lit(3))
-        seen = types.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == c, 1).otherwise(0)).alias(f"n{c}") for c in (1, 2, 3, 4)])
-        y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0))
-        # Where counts of counts leave a discount undefined, half of the least count it is taken from.
-        d = lambda c: F.least(F.greatest(F.coalesce(c - F.lit(float(c + 1)) * y * F.col(f"n{c + 1}") / F.nullif(F.col(f"n{c}"), F.lit(0)), F.lit(c / 2)), F.lit(0.05)), F.lit(c - 0.05))
-        discounts = seen.select(F.col("lang").alias("l"), F.array(d(1), d(2), d(3)).alias("d"))
-        cut = types.join(discounts, types["lang"].eqNullSafe(discounts["l"])).withColumn("cut", F.element_at("d", k.cast("int")))
-        whole = cut.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        whole = checkpointed(whole)
-        joined = cut.withColumn("context", F.shiftright("gram", 8)).join(whole, cut["lang"].eqNullSafe(whole["lang"]) & (F.shiftright(cut["gram"], 8) == whole["context"]))
-        alpha = joined.select(cut["lang"], cut["gram"], ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
-        out.append((alpha, whole.select("lang", "context", (F.col("freed") / F.col("total")).alias("gamma"))))
-        types = checkpointed(types.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1).alias("gram")).agg(F.count("*").alias("n")))
-    return out[::-1]
-
-
 def _as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in names.items()])
 
 
-def probabilities(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram) -> (lang, gram, p), by joins with the model's tables, order by order."""
-    wanted = [requests.select("lang", "gram").distinct()]
-    for n in range(len(model) - 1, 0, -1):
-        wanted.append(wanted[-1].select("lang", F.col("gram").bitwiseAND((1 << 8 * n) - 1).alias("gram")).distinct())
-    lower = None
-    for n, (want, (alpha, gamma)) in enumerate(zip(wanted[::-1], model), 1):
-        a, g = _as(alpha, al="lang", ag="gram", alpha="alpha"), _as(gamma, gl="lang", gc="context", gamma="gamma")
-        rows = want.join(a, want["lang"].eqNullSafe(a["al"]) & (want["gram"] == a["ag"]), "left").drop("al", "ag")
-        rows = rows.join(g, rows["lang"].eqNullSafe(g["gl"]) & (F.shiftright(rows["gram"], 8) == g["gc"]), "left").drop("gl", "gc")
-        if lower is None:
-            below = F.lit(1.0 / 256)
-        else:
-            low = _as(lower, pl="lang", pg="gram", below="p")
-            rows = rows.join(low, rows["lang"].eqNullSafe(low["pl"]) & (F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1) == low["pg"])).drop("pl", "pg")
-            below = F.col("below")
-        lower = rows.select("lang", "gram", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * below).alias("p"))
-    return lower
+def _last(gram: Column, n: Column | int) -> Column:
+    """The last n bytes of an n-gram."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return gram.bitwiseAND(F.pow(F.lit(256), n).cast("long") - 1)
+
+
+def train(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, int]:
+    """(lang, gram, n) of the highest order -> (lang, level, gram, alpha), (lang, level, context, gamma), order.
+
+    alpha: an n-gram's discounted share of its context's counts; gamma: what the discounts leave to the level below.
+    """
+    level = checkpointed(counts.select("lang", "gram", "n"))
+    types = level.select("lang", F.lit(order).alias("level"), "gram", "n")
+    for n in range(order - 1, 0, -1):
+        level = level.groupBy("lang", _last(F.col("gram"), n).alias("gram")).agg(F.count("*").alias("n"))
+        types = types.unionAll(level.select("lang", F.lit(n), "gram", "n"))
+    types = checkpointed(types)
+    seen = types.groupBy("lang", "level").agg(*[F.sum(F.when(F.col("n") == c, 1).otherwise(0)).alias(f"n{c}") for c in (1, 2, 3, 4)])
+    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0))
+    # Where counts of counts leave a discount undefined, half of the least count it is taken from.
+    d = lambda c: F.least(F.greatest(F.coalesce(c - F.lit(float(c + 1)) * y * F.col(f"n{c + 1}") / F.nullif(F.col(f"n{c}"), F.lit(0)), F.lit(c / 2)), F.lit(0.05)), F.lit(c - 0.05))
+    discounts = seen.select(F.col("lang").alias("l"), F.col("level").alias("v"), F.array(d(1), d(2), d(3)).alias("d"))
+    cut = types.join(discounts, types["lang"].eqNullSafe(discounts["l"]) & (types["level"] == discounts["v"])).drop("l", "v")
+    cut = cut.select("lang", "level", "gram", "n", F.element_at("d", F.least(F.col("n"), F.lit(3)).cast("int")).alias("cut"), F.shiftright("gram", 8).alias("context"))
+    whole = checkpointed(cut.groupBy("lang", "level", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")))
+    of = _as(whole, l="lang", v="level", c="context", total="total")
+    alpha = cut.join(of, cut["lang"].eqNullSafe(of["l"]) & (cut["level"] == of["v"]) & (cut["context"] == of["c"]))
+    alpha = alpha.select("lang", "level", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
+    return alpha, whole.select("lang", "level", "context", (F.col("freed") / F.col("total")).alias("gamma")), order
+
+
+def probabilities(requests: DataFrame, model: tuple[DataFrame, DataFrame, int]) -> DataFrame:
+    """(lang, gram) -> (lang, gram, p): each distinct request meets the counts of all its levels in one join, and those of
+    their contexts in another."""
+    alpha, gamma, order = model
+    rows = requests.select("lang", "gram").distinct().select("lang", "gram", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("level"))
+    rows = rows.withColumn("end", _last(F.col("gram"), F.col("level")))
+    a, g = _as(alpha, al="lang", av="level", ag="gram", alpha="alpha"), _as(gamma, gl="lang", gv="level", gc="context", gamma="gamma")
+    rows = rows.join(a, rows["lang"].eqNullSafe(a["al"]) & (rows["level"] == a["av"]) & (rows["end"] == a["ag"]), "left").drop("al", "av", "ag")
+    rows = rows.join(g, rows["lang"].eqNullSafe(g["gl"]) & (rows["level"] == g["gv"]) & (F.shiftright(rows["end"], 8) == g["gc"]), "left").drop("gl", "gv", "gc")
+    at = lambda c, n, other: F.coalesce(F.max(F.when(F.col("level") == n, F.col(c))), F.lit(other))
+    found = rows.groupBy("lang", "gram").agg(*[at("alpha", n, 0.0).alias(f"a{n}") for n in range(1, order + 1)], *[at("gamma", n, 1.0).alias(f"g{n}") for n in range(1, order + 1)])
+    p = F.lit(1.0 / 256)
+    for n in range(1, order + 1):
+        p = F.col(f"a{n}") + F.col(f"g{n}") * p
+    return found.select("lang", "gram", p.alias("p"))
 
 
 def _score(order: int):
@@ -184,11 +196,13 @@ def _score(order: int):
                     log_p = None
                     if text and lang in tables:
                         grams, logs = tables[lang]
-                        own = _grams(text, order)
-                        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                        if not (grams[at] == own).all():
-                            raise ValueError("an n-gram of a text was not asked for")
-                        log_p = float(logs[at].mean())
+                        log_p = 0.0
+                        for own in _grams_in_parts(text, order):
+                            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                            if not (grams[at] == own).all():
+                                raise ValueError("an n-gram of a text was not asked for")
+                            log_p += float(logs[at].sum())
+                        log_p /= len(text)
                     out.append((key, lang, len(text), log_p))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -196,7 +210,7 @@ def _score(order: int):
     return run
 
 
-def score(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], langs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(id, lang, n_bytes, log_p): mean log probability per byte, null without text or model."""
     spark = df.sparkSession
     files = max(1, len(df.inputFiles()))
@@ -217,16 +231,19 @@ def score(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], langs: DataFr
     return met.mapInArrow(_score(order), "id long, lang string, n_bytes long, log_p double")
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: Column | None = None, order: int = ORDER) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: Column | None = None, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(id, lang, n_bytes, perplexity, low, high, kept) of every document."""
     ship(df.sparkSession)
     trusted = F.col("quality") == 1 if trusted is None else trusted
     good = labels.where(trusted).select(F.col(id_col).alias("good")).distinct()
-    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(~held_out(F.col("id"))).mapInArrow(pack, "id long, lang string, packed binary")
-    fit = packed.join(good.where(~held_out(F.col("good"))), F.col("id") == F.col("good"), "left_semi").select("lang", "packed")
+    # Drawn on both sides of the join, so that only texts of the sample's share move.
+    share = min(1.0, train_docs / max(1, good.count()))
+    drawn = lambda c: ~held_out(F.col(c)) & (F.pmod(F.xxhash64(c, F.lit("train")), F.lit(1 << 20)) < share * (1 << 20))
+    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(drawn("id")).mapInArrow(pack, "id long, lang string, packed binary")
+    fit = packed.join(good.where(drawn("good")), F.col("id") == F.col("good"), "left_semi").select("lang", "packed")
     counts = fit.mapInArrow(_count(order, True), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = train(counts, order)
-    langs = checkpointed(model[0][1].select("lang").distinct())
+    langs = checkpointed(model[1].where("level = 1").select("lang").distinct())
     scored = checkpointed(score(df, model, langs, id_col, text_col, lang_col, order))
     left_out = scored.where(held_out(F.col("id")) & F.col("log_p").isNotNull()).join(good, F.col("id") == F.col("good"), "left_semi")
     middle = left_out.groupBy("lang").agg(F.percentile_approx("log_p", 0.5, 1000).alias("middle"))
@@ -247,4 +264,4 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op7(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(df, labels)
+    return classify(df, labels, trusted=(F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))

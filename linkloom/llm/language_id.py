@@ -21,14 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ship
+from linkloom.llm.common import held_out, ship
 
 #: n-grams in a profile, and rows of a language that its profile is fitted on (about).
 DEPTH = 400
 TRAIN_ROWS = 4000
 #: Languages that are learned, by number of rows; more than ISO 639-3 has codes.
 MAX_LANGUAGES = 8192
-FOLDS = 5
 _SEPARATOR = 1
 
 
@@ -92,10 +91,6 @@ class Profiles:
         return self.langs[best], float(1.0 - cost[best] / (len(own) * self.depth))
 
 
-def held_out(id_col: Column, folds: int = FOLDS) -> Column:
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == 0
-
-
 def _count(batches):
     """(lang, gram, n) for the rows of each batch."""
     import numpy as np
