@@ -27,8 +27,10 @@ from linkloom.llm.common import checkpointed, n_words, ship
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 #: Documents that a bucket should have, and buckets that meet in a node of the tree.
-BUCKET = 20_000
+BUCKET = 2_000
 FAN_IN = 64
+#: Sources whose targets are broadcast.
+FEW_SOURCES = 50_000
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -105,6 +107,9 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     by_source = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights, most))
     counts = sized.groupBy("source").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("buckets"))
     facts = by_source.join(counts, by_source.source.eqNullSafe(counts.source)).select(by_source.source.alias("s"), "source_size", "target", "buckets")
+    # A row for each source: broadcast, which keeps a large source in many tasks, if their number is known to be small.
+    if by_source.count() <= FEW_SOURCES:
+        facts = F.broadcast(facts)
     rows = sized.join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("place", F.xxhash64("id", F.lit(seed)))
