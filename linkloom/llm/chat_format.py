@@ -174,3 +174,25 @@ def op3(df: DataFrame) -> DataFrame:
     extra = df.sparkSession.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionAll(extra)
     return digests(format_turns(rows))
+
+
+def _escaped_sql(x: str) -> str:
+    out = rf"replace({x}, '\', '\\')"
+    for c in CONTROL:
+        out = rf"replace({out}, '{c}', '{c[0]}\{c[1:]}')"
+    return out
+
+
+OP3_SQL = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+),
+f AS (SELECT *, '{TURN}' || {_escaped_sql('role')} || '{TEXT}' || {_escaped_sql('text')} || '{END.strip()}' || chr(10) AS formatted FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""

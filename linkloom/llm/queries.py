@@ -24,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_chat_format": chat_format.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
