@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -21,11 +24,13 @@ from pyspark.sql import DataFrame
 from linkloom.llm.common import ship
 
 #: Texts are taken in blocks of about so many characters, and distinct pieces in blocks of so many bytes.
-TEXT_BLOCK = 32_000_000
-PIECE_BLOCK = 500_000
+TEXT_BLOCK = 4_000_000
+PIECE_BLOCK = 250_000
 #: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps.
 LONG = 64
 ROUND = 64
+#: Pieces that an encoder remembers before it forgets them all.
+KNOWN = 350_000
 
 _PAIRS = """
     SELECT a.w, a.pos AS place, a.nxt AS gone, m.rank, m.safe, a.ord
@@ -89,12 +94,14 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
 class Encoder:
     """Encodes and decodes pieces on a DuckDB of its own."""
 
-    def __init__(self, ranks: dict[bytes, int], threads: int = 1, memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], threads: int = 1, memory: str = "200MB"):
         import duckdb
         import numpy as np
         import pyarrow as pa
 
         self.ranks = ranks
+        self.ids_of: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges, unsafe = [], set()
         for token, rank in ranks.items():
@@ -106,6 +113,7 @@ class Encoder:
         self.con = duckdb.connect()
         self.con.execute(f"SET threads = {threads}")
         self.con.execute(f"SET memory_limit = '{memory}'")
+        self.con.execute(f"SET temp_directory = '{tempfile.gettempdir()}/linkloom-duckdb'")
         self.con.register("m_", pa.table({"pair": pa.array([m for m, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32()), "safe": pa.array([r not in unsafe for _, r in merges])}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_")
         self.con.register("v_", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
@@ -146,30 +154,31 @@ class Encoder:
         return pa.concat_tables([t.cast(done[0].schema) for t in done])
 
     def pieces(self, pieces: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """For each distinct piece: its ids, joined by spaces, and the bytes that they decode to."""
-        ids_of, bytes_of = {}, {}
-        wait: dict[bool, list[str]] = {False: [], True: []}
-        for p in pieces:
-            b = p.encode()
-            rank = self.ranks.get(b)
-            if rank is not None:
-                ids_of[p], bytes_of[p] = str(rank), b
+        """For these distinct pieces, and others: their ids, joined by spaces; and the bytes that the ids decode to, of the
+        pieces for which those are not the piece's own."""
+        if len(self.ids_of) > KNOWN:
+            self.ids_of, self.odd = {}, {}
+        pieces = [p for p in pieces if p not in self.ids_of]
+        spelt = [p.encode() for p in pieces]
+        wait: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
+        for p, b, rank in zip(pieces, spelt, map(self.ranks.get, spelt)):
+            if rank is None:
+                wait[len(b) > LONG].append((p, b))
             else:
-                wait[len(b) > LONG].append(p)
+                self.ids_of[p] = str(rank)
         for long, todo in wait.items():
+            ends = list(accumulate(len(b) for _, b in todo))
             at = 0
             while at < len(todo):
-                block, size = [], 0
-                while at < len(todo) and (not block or size + len(todo[at]) <= PIECE_BLOCK):
-                    block.append(todo[at].encode())
-                    size += len(block[-1])
-                    at += 1
-                rows = self._fixpoint(block, long)
+                end = max(at + 1, bisect_right(ends, (ends[at - 1] if at else 0) + PIECE_BLOCK))
+                rows = self._fixpoint([b for _, b in todo[at:end]], long)
                 got = self._run("SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN vocabulary USING (tok) GROUP BY w ORDER BY w", rows=rows)
-                names = todo[at - len(block) : at]
-                ids_of.update(zip(names, got.column("ids").to_numpy()))
-                bytes_of.update(zip(names, map(bytes.fromhex, got.column("hex").to_numpy())))
-        return ids_of, bytes_of
+                self.ids_of.update(zip([p for p, _ in todo[at:end]], got.column("ids").to_numpy()))
+                for (p, b), hexed in zip(todo[at:end], got.column("hex").to_numpy()):
+                    if bytes.fromhex(hexed) != b:
+                        self.odd[p] = bytes.fromhex(hexed)
+                at = end
+        return self.ids_of, self.odd
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -185,6 +194,16 @@ class Encoder:
         return out
 
 
+_own: dict = {}
+
+
+def _encoder(ranks: dict[bytes, int]) -> Encoder:
+    """This process's encoder; a worker keeps it from task to task."""
+    if _own.get("ranks") != ranks:
+        _own.update(ranks=ranks, encoder=Encoder(ranks))
+    return _own["encoder"]
+
+
 #: White space as Unicode has it; the regex library's own class also holds U+001C to U+001F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -218,14 +237,14 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
 
         encoder, split = None, splitter(pattern)
         for block in _blocks(batches, 2):
-            encoder = encoder or Encoder(ranks)
+            encoder = encoder or _encoder(ranks)
             one: dict[str, str] = {}  # a string for each distinct piece, however often it occurs
             texts = [[one.setdefault(p, p) for p in split(text)] if text else [] for _, text in block]
-            ids_of, bytes_of = encoder.pieces(list(one))
+            ids_of, odd = encoder.pieces(list(one))
             columns: dict[str, list] = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
             for (key, _), pieces in zip(block, texts):
                 ids = " ".join(map(ids_of.__getitem__, pieces))
-                decoded = b"".join(map(bytes_of.__getitem__, pieces))
+                decoded = b"".join([odd[p] if p in odd else p.encode() for p in pieces]) if odd else "".join(pieces).encode()
                 columns["id"].append(key)
                 columns["n_tokens"].append(ids.count(" ") + bool(ids))
                 columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
@@ -255,7 +274,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_pa
 
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(ranks)
+            encoder = encoder or _encoder(ranks)
             texts = [b.decode("utf-8", "replace") for b in encoder.decode([x or [] for x in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
