@@ -1,6 +1,6 @@
 """A quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-Training counts n-grams of trusted documents of each language (a sample of bounded size), by map-side combined sums. Lower orders count the
+Training counts n-grams of all trusted documents of each language, by map-side combined sums. Lower orders count the
 distinct n-grams that extend them to the left; discounts for counts of one, two, and three or more follow, for each
 language and order, from the counts of counts.
 
@@ -24,11 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpointed, held_out, pack, ship, unpack
+from linkloom.llm.common import checkpointed, held_out, pack, ship, swept, unpack
 
 ORDER = 4
-#: Trusted documents that a model is fitted on (about), of all languages together; drawn by a digest of the identifier.
-TRAIN_DOCS = 30_000
 #: Quantiles of a language's trusted documents, and the interquartile ranges that they are widened by.
 LOW, HIGH = 0.005, 0.995
 WIDEN_LOW, WIDEN_HIGH = 1.0, 3.0  # a text that is too predictable is less suspect than one that is too odd
@@ -123,6 +121,7 @@ def train(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame,
     alpha: an n-gram's discounted share of its context's counts; gamma: what the discounts leave to the level below.
     """
     level = checkpointed(counts.select("lang", "gram", "n"))
+    swept(level.sparkSession)  # the texts that moved
     types = level.select("lang", F.lit(order).alias("level"), "gram", "n")
     for n in range(order - 1, 0, -1):
         level = level.groupBy("lang", _last(F.col("gram"), n).alias("gram")).agg(F.count("*").alias("n"))
@@ -220,6 +219,7 @@ def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFra
     rows = df.select(part.alias("part"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     asked = rows.select("part", "lang", "text").mapInArrow(_count(order, False), "part long, lang string, gram long, n long").groupBy("part", "lang", "gram").agg(F.lit(1).alias("one"))
     asked = checkpointed(asked.join(langs.select(F.col("lang").alias("l")), F.col("lang").eqNullSafe(F.col("l")), "left_semi").select("part", "lang", "gram"))
+    swept(spark)
     p = probabilities(asked, model)
     p = _as(p, l="lang", g="gram", p="p")
     told = asked.join(p, asked["lang"].eqNullSafe(p["l"]) & (asked["gram"] == p["g"]))
@@ -231,16 +231,14 @@ def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFra
     return met.mapInArrow(_score(order), "id long, lang string, n_bytes long, log_p double")
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: Column | None = None, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: Column | None = None, order: int = ORDER) -> DataFrame:
     """(id, lang, n_bytes, perplexity, low, high, kept) of every document."""
     ship(df.sparkSession)
     trusted = F.col("quality") == 1 if trusted is None else trusted
     good = labels.where(trusted).select(F.col(id_col).alias("good")).distinct()
-    # Drawn on both sides of the join, so that only texts of the sample's share move.
-    share = min(1.0, train_docs / max(1, good.count()))
-    drawn = lambda c: ~held_out(F.col(c)) & (F.pmod(F.xxhash64(c, F.lit("train")), F.lit(1 << 20)) < share * (1 << 20))
-    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(drawn("id")).mapInArrow(pack, "id long, lang string, packed binary")
-    fit = packed.join(good.where(drawn("good")), F.col("id") == F.col("good"), "left_semi").select("lang", "packed")
+    # Left out on both sides of the join, so that their texts do not move.
+    packed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(~held_out(F.col("id"))).mapInArrow(pack, "id long, lang string, packed binary")
+    fit = packed.join(good.where(~held_out(F.col("good"))), F.col("id") == F.col("good"), "left_semi").select("lang", "packed")
     counts = fit.mapInArrow(_count(order, True), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = train(counts, order)
     langs = checkpointed(model[1].where("level = 1").select("lang").distinct())

@@ -327,6 +327,22 @@ def test_kneser_ney_classifier(spark, sf, odd, odd_rows, none):
     assert kneser_ney.op7(odd, marks.limit(0)).where("kept").count() == sum(bool(r[1]) for r in odd_rows)
 
 
+def test_kneser_ney_counts_all_trusted_documents(spark, monkeypatch):
+    """However many documents there are, and however few of them are of a language."""
+    counted = {}
+    train = kneser_ney.train
+
+    def spy(counts, order):
+        counted.update({r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()})
+        return train(counts, order)
+
+    monkeypatch.setattr(kneser_ney, "train", spy)
+    docs = spark.range(90_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") < 12, "rare").otherwise("en").alias("lang"))
+    kneser_ney.classify(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    kept = [k >= 12 for k in range(90_000) if zlib.crc32(str(k).encode()) % 5]
+    assert counted == {"en": 9 * sum(kept), "rare": 9 * (len(kept) - sum(kept))}
+
+
 def plain_fingerprint(text):
     import xxhash
 
