@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
+from linkloom.llm import byte_bpe, exact_dedup, jaccard, language_id, mixing
 from linkloom.llm.common import documents, n_words, scratch
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id."""
-    groups = simhash.near_groups(simhash.fingerprints(docs))
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), that with the least doc_id."""
+    groups = jaccard.near_groups(docs)
     stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["id"]), "left_semi")
 
@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("byte_bpe", tokens)]
 
-#: Language profiles, SimHash and dependent rounding are beyond SQL.
+#: Language profiles, MinHash and dependent rounding are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,231 @@
+"""Near duplicates by the Jaccard similarity of their shingles, each link computed exactly.
+
+Texts with equal sets of shingles are one node. MinHash bands bring nodes together: a pair of similarity LEAST shares no
+band with a probability of (1 - LEAST ** ROWS) ** BANDS, below 1e-8, and a pair of more similarity with less. The pairs of
+a small bucket are compared one by one. Nodes that large buckets connect are a cluster, dealt into blocks, and each pair of
+blocks is compared in a task. Only a spanning forest of the links leaves a task; components of the forests are those of all
+links. Sets of shingles are made again for the nodes that any bucket brings together, and no others move.
+
+Cases: words and null, blank and short texts as in simhash (texts without a word are equal, a text of fewer words than a
+shingle is one shingle); repeated rows are one node; a null identifier takes its component's least other identifier.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from linkloom.llm.common import checkpointed, pack, ship, swept, unpack
+from linkloom.llm.components import components
+
+SHINGLE, SEED = 5, 42
+#: The least similarity of a link, as a fraction.
+LEAST = (4, 5)
+ROWS, BANDS = 7, 80
+#: Nodes of a bucket that are compared one by one, and nodes of a block of a cluster.
+SMALL, BLOCK = 32, 512
+_SHINGLES_AT_ONCE = 1000
+
+
+def shingles(text: bytes, shingle: int = SHINGLE):
+    """The distinct hashes of a text's shingles, sorted."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # of bytes: lowers A-Z, splits at ASCII white space
+    joined = b" ".join(words)
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64))
+
+
+def _node(grams) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(grams.tobytes(), SEED)
+
+
+def _bands():
+    import numpy as np
+
+    rnd = np.random.default_rng(SEED)
+    draw = lambda: rnd.integers(0, 2**64, (ROWS * BANDS, 1), np.uint64)
+    return draw(), draw() | np.uint64(1)
+
+
+def _keys(batches):
+    """(id, text) -> (id, node, keys): the keys of the bands, one after the other."""
+    import numpy as np
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    flip, factor = _bands()
+    for batch in batches:
+        nodes, keys = [], []
+        for text in batch.column(1):
+            grams = shingles((text.as_py() or "").encode())
+            least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
+            for k in range(0, len(grams), _SHINGLES_AT_ONCE):
+                np.minimum(least, ((grams[k : k + _SHINGLES_AT_ONCE] ^ flip) * factor).min(axis=1), out=least)
+            nodes.append(_node(grams))
+            keys.append(np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], ["id", "node", "keys"])
+
+
+def _dealt(batches):
+    """(node, keys) -> (key, node)"""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"])
+
+
+def _met(small: int):
+    """Over (key, node) sorted by key: all pairs (u, v) of small buckets; of large ones, each node with the least."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def close(parts):
+            nodes = np.unique(np.concatenate(parts))
+            if len(nodes) < 2:
+                return []
+            if len(nodes) > small:
+                return [(nodes[1:], np.full(len(nodes) - 1, nodes[0]), True)]
+            a, b = np.triu_indices(len(nodes), 1)
+            return [(nodes[b], nodes[a], False)]
+
+        def batch_of(found):
+            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            large = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(large)], ["u", "v", "large"])
+
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (batch.column(c).to_numpy() for c in (0, 1))
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                if key[a] != last:
+                    if sum(map(len, held)) > 1:
+                        found += close(held)
+                    last, held = key[a], []
+                held.append(node[a:b])
+            yield batch_of(found)
+        if sum(map(len, held)) > 1:
+            yield batch_of(close(held))
+
+    return run
+
+
+def _sets(batches):
+    """(id, packed) -> (node, grams)"""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        sets = [shingles(unpack(p.as_py())) for p in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+
+
+class _Index:
+    """Sets of shingles, by shingle."""
+
+    def __init__(self, nodes: list, sets: list):
+        import numpy as np
+
+        self.nodes, self.sizes = nodes, np.array([len(s) for s in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        place = np.argsort(every, kind="stable")
+        self.grams, first = np.unique(every[place], return_index=True)
+        self.owner, self.start = owner[place], np.append(first, len(every))
+
+    def similar(self, own):
+        """Of the sets that are similar to this one: their nodes."""
+        import numpy as np
+
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        at = at[self.grams[at] == own]
+        n = self.start[at + 1] - self.start[at]
+        rows = np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[rows], minlength=len(self.nodes))
+        up, down = LEAST
+        return [self.nodes[k] for k in np.flatnonzero((up + down) * shared >= up * (self.sizes + len(own)))]
+
+
+def _links(batches):
+    """Over (task, side, node, grams) sorted by task and side: links (u, v) between its sides, as many as connect them."""
+    import numpy as np
+    import pyarrow as pa
+
+    task, index, waiting, root = None, None, ([], []), {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for batch in batches:
+        out = []
+        for name, side, node, grams in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if name != task:
+                task, index, waiting, root = name, None, ([], []), {}
+            own = np.frombuffer(grams, np.uint64)
+            if side == 0:
+                waiting[0].append(node)
+                waiting[1].append(own)
+                continue
+            if not waiting[0]:
+                continue
+            index = index or _Index(*waiting)
+            for other in index.similar(own):
+                a, b = find(node), find(other)
+                if a != b:
+                    root[a] = b
+                    out.append((node, other))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, component_id): the least id that links reach."""
+    spark = df.sparkSession
+    ship(spark)
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = checkpointed(texts.mapInArrow(_keys, "id long, node long, keys binary"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
+    dealt = nodes.select("node", "keys").mapInArrow(_dealt, "key long, node long")
+    met = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_met(SMALL), "u long, v long, large boolean").distinct())
+    swept(spark)
+    pairs = met.where("not large")
+    # The pairs of a node with those below it are a task, and so is each pair of blocks of a cluster.
+    asked = pairs.select(F.xxhash64("u").alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))).alias("x"))
+    clusters = checkpointed(components(met.where("large").select("u", "v")))
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))
+    placed = placed.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.explode(sides).alias("side"), "node")
+    asked = checkpointed(asked.select("task", "x.side", "x.node").unionAll(placed).distinct())
+    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("w")).distinct()
+    packed = texts.mapInArrow(pack, "id long, packed binary")
+    sets = packed.join(wanted, packed["id"].eqNullSafe(wanted["w"]), "left_semi").mapInArrow(_sets, "node long, grams binary")
+    sets = checkpointed(sets.groupBy("node").agg(F.first("grams").alias("grams")))
+    swept(spark)
+    both = asked.join(sets, "node").select("task", "side", "node", "grams")
+    found = components(both.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_links, "u long, v long"))
+    ends = nodes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = ends.groupBy("root").agg(F.min("first").alias("component_id"))
+    groups = ends.join(least, "root").select(F.col("node").alias("g"), "component_id")
+    return rows.select("id", "node").join(groups, F.col("node") == F.col("g")).drop("g")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_bpe, chat_format, components, exact_dedup, kneser_ney, language_id, mixing, quality_rules, simhash, substring_dedup, token_counts
+from linkloom.llm import byte_bpe, chat_format, components, exact_dedup, jaccard, kneser_ney, language_id, mixing, quality_rules, simhash, substring_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -414,6 +414,53 @@ def test_plan_changes_with_the_number_of_documents():
     assert len(many) < len(few) and max(t for _, t in many) > max(t for _, t in few)
 
 
+def plain_shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("small, block", [(32, 512), (2, 5)])
+def test_near_stage_finds_planted_pairs(spark, none, monkeypatch, small, block):
+    """Pairs of similarity 0.8 to 0.95 and a family of copies go, those below 0.8 stay, however buckets are cut."""
+    import random
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rnd = random.Random(9)
+    texts = []
+    for k in range(80):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 400))]
+        copy = list(w)
+        for _ in range(k % 9 + 1 if k < 40 else len(w) // 45):
+            copy[rnd.randrange(len(w))] = "other"
+        texts += [w, copy]
+    family = [f"f{rnd.randrange(5000)}" for _ in range(150)]
+    for _ in range(40):
+        copy = list(family)
+        for _ in range(rnd.randrange(1, 5)):
+            copy[rnd.randrange(150)] = "new"
+        texts.append(copy)
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate(texts)]
+    sets = [plain_shingles(r[1]) for r in rows]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(rows)) for b in range(a) if sets[a] & sets[b]}
+    assert sum(0.8 <= x < 0.95 for x in alike.values()) > 100 and sum(0.6 < x < 0.8 for x in alike.values()) > 20
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for (a, b), x in alike.items():
+        if x >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, none.schema).repartition(3), "")
+    assert sorted(r.doc_id for r in out.collect()) == [k for k in range(len(rows)) if find(k) == k]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 3), (3, 9), (9, 9), (1, 7)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
