@@ -45,6 +45,24 @@ def test_monotone_in_anchors(rec):
     assert pairs(blocking.exact_name(rec)) <= pairs(blocking.bounded(rec, max_df=MAX_DF, **CAPS))
 
 
+def test_registered_blockers_keep_large_groups(spark, tmp_path):
+    """80 copies of a record are candidates of each of 40; small caps, asked for, bind."""
+    from linkloom.plans.queries import QUERIES
+
+    words = "alder birch cedar dogwood elder " * 8
+    rows = [(k, f"{words[:36]}{words}{k}", "en", "s", 7) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rec = fixtures.records(spark, str(tmp_path)).withColumn("business_name", F.concat("business_name", F.lit(" "), "entity_id")).withColumn("business_address", F.lit("hazel road")).cache()
+    every = {(f"S1-{a}", f"S{b % 3 + 1}-{b}") for a in range(0, 120, 3) for b in range(120) if b % 3}
+    for name in ("block_token2", "block_country_token1", "block_country_token2"):
+        assert pairs(QUERIES[name](spark, str(tmp_path))) == every
+    usable = {r.token for r in QUERIES["posting_sizes"](spark, str(tmp_path)).collect()}
+    assert "alder" in usable and QUERIES["posting_cap"](spark, str(tmp_path)).groupBy("country", "token").count().agg(F.max("count")).first()[0] == 80
+    assert pairs(blocking.v1(rec)) == every and pairs(blocking.v1(rec, max_df=60)) == set()
+    assert len(pairs(blocking.v1(rec, posting_cap=20))) == 40 * 20
+    assert len(pairs(blocking.bounded(rec, max_df=60, address_cap=5))) == 40 * 5
+
+
 def test_empty_tables(spark):
     rec = spark.createDataFrame([], REC)
     for edges in (blocking.v1(rec), blocking.v2(rec), blocking.bounded(rec), blocking.address_tokens(rec), blocking.purged_address_tokens(rec)):
