@@ -1,18 +1,24 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries.
 
-Each Spark task splits its texts into pieces, finds the distinct pieces, and gives them to an embedded DuckDB as
-token-position rows. A recursive query joins neighbouring tokens to the merge table and contracts, in every piece, the
-leftmost pair of least rank until no pair merges. An ordered aggregation over the surviving rows gives the ids, and
-another, over the rows joined to the vocabulary, the bytes they stand for.
+Each Spark task cuts its texts into chunks that no piece reaches across, splits the distinct chunks into pieces, and gives
+the distinct pieces to an embedded DuckDB as token-position rows (a piece that is a token is one row from the start). A
+recursive query joins neighbouring tokens to the merge table and contracts, in every piece, the leftmost pair of least
+rank until no pair merges. An ordered aggregation over the surviving rows gives the ids.
 
-Cases: null and empty texts have no tokens; whole texts are encoded; repeated rows are encoded alike; extra columns
-are ignored. No special tokens are recognised.
+Decoding starts from ids alone: a document is the ids of its chunks, and each distinct run of ids is joined to the
+vocabulary and aggregated in order to the bytes it stands for. What a worker has encoded and decoded it remembers in two
+generations: when the younger is full the older goes, and what was asked for since has moved to the younger by then.
+
+Cases: null and empty texts have no tokens; whole texts are encoded, very long ones in slices; repeated rows are encoded
+alike; extra columns are ignored. No special tokens are recognised.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import re
 import tempfile
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,14 +29,15 @@ from pyspark.sql import DataFrame
 
 from linkloom.llm.common import ship
 
-#: Texts are taken in blocks of about so many characters, and distinct pieces in blocks of so many bytes.
+#: Texts are taken in blocks of about so many characters, longer ones in slices, and distinct pieces in blocks of so many bytes.
 TEXT_BLOCK = 4_000_000
 PIECE_BLOCK = 250_000
-#: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps.
+#: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps, fewer if they are very long.
 LONG = 64
 ROUND = 64
-#: Pieces that an encoder remembers before it forgets them all.
-KNOWN = 350_000
+#: Entries of a memory's younger generation, and characters of the longest key that is remembered.
+KNOWN = 250_000
+KNOWN_LENGTH = 200
 
 _PAIRS = """
     SELECT a.w, a.pos AS place, a.nxt AS gone, m.rank, m.safe, a.ord
@@ -69,7 +76,7 @@ _HITS = f"""
                 SELECT *, min(rank) OVER (PARTITION BY w) AS best FROM ({_PAIRS}))
             WHERE rank = best))
     WHERE CASE WHEN safe THEN in_run % 2 = 1 ELSE k = 1 END"""
-_LONG = f"""
+_LONG = """
     WITH RECURSIVE t(step, w, pos, tok) AS (
         SELECT 0, w, pos, tok FROM seed
         UNION ALL
@@ -77,10 +84,10 @@ _LONG = f"""
         FROM (
             SELECT t.step, t.w, t.pos, t.tok, max(e.rank) AS rank, coalesce(max(e.role), 0) AS role
             FROM t
-            JOIN (SELECT DISTINCT w FROM ({_HITS})) live ON live.w = t.w
-            LEFT JOIN (SELECT w, unnest([place, gone]) AS pos, rank, unnest([1, 2]) AS role FROM ({_HITS})) e ON e.w = t.w AND e.pos = t.pos
+            JOIN (SELECT DISTINCT w FROM (%(hits)s)) live ON live.w = t.w
+            LEFT JOIN (SELECT w, unnest([place, gone]) AS pos, rank, unnest([1, 2]) AS role FROM (%(hits)s)) e ON e.w = t.w AND e.pos = t.pos
             GROUP BY t.step, t.w, t.pos, t.tok) c
-        WHERE c.role <> 2 AND c.step < {ROUND}
+        WHERE c.role <> 2 AND c.step < %(steps)s
     )
     SELECT w, pos, tok, step FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
 
@@ -91,17 +98,42 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Memory:
+    """A dictionary of two generations."""
+
+    def __init__(self, most: int):
+        self.young, self.old, self.most = {}, {}, most
+
+    def missing(self, keys) -> list:
+        """The keys that are unknown; the others are in the younger generation from now on."""
+        if len(self.young) > self.most:
+            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= KNOWN_LENGTH}, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+    def forget_long(self, keys) -> None:
+        for k in keys:
+            if len(k) > KNOWN_LENGTH:
+                self.young.pop(k, None)
+
+
 class Encoder:
-    """Encodes and decodes pieces on a DuckDB of its own."""
+    """Encodes and decodes on a DuckDB of its own."""
 
-    def __init__(self, ranks: dict[bytes, int], threads: int = 1, memory: str = "200MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, threads: int = 1, memory: str = "200MB"):
         import duckdb
         import numpy as np
         import pyarrow as pa
 
-        self.ranks = ranks
-        self.ids_of: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}
+        self.ranks, self.split = ranks, splitter(pattern)
+        self.cuts = pattern == public_tokenizers.PATTERN
+        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(KNOWN), Memory(KNOWN)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges, unsafe = [], set()
         for token, rank in ranks.items():
@@ -113,7 +145,7 @@ class Encoder:
         self.con = duckdb.connect()
         self.con.execute(f"SET threads = {threads}")
         self.con.execute(f"SET memory_limit = '{memory}'")
-        self.con.execute(f"SET temp_directory = '{tempfile.gettempdir()}/linkloom-duckdb'")
+        self.con.execute(f"SET temp_directory = '{tempfile.gettempdir()}/linkloom-duckdb-{os.getpid()}'")
         self.con.register("m_", pa.table({"pair": pa.array([m for m, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32()), "safe": pa.array([r not in unsafe for _, r in merges])}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_")
         self.con.register("v_", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
@@ -134,9 +166,11 @@ class Encoder:
         import numpy as np
         import pyarrow as pa
 
-        sizes = np.array([len(p) for p in pieces])
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        tok = self.byte[flat].astype(np.int64)
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        sizes = np.where(whole >= 0, 1, np.array([len(p) for p in pieces]))
+        flat = np.frombuffer(b"".join(p if w < 0 else p[:1] for p, w in zip(pieces, whole.tolist())), np.uint8)
+        given = np.repeat(whole, sizes)
+        tok = np.where(given >= 0, given, self.byte[flat])
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = pos == np.repeat(sizes, sizes) - 1
         rows = pa.table({
@@ -147,60 +181,92 @@ class Encoder:
             return self._run(_SHORT, seed=rows)
         done = []
         while rows.num_rows:
-            out = self._run(_LONG, seed=rows)
-            more = out.column("step").to_numpy() >= ROUND
+            steps = max(1, min(ROUND, ROUND * PIECE_BLOCK // rows.num_rows))
+            out = self._run(_LONG % {"hits": _HITS, "steps": steps}, seed=rows)
+            more = out.column("step").to_numpy() >= steps
             done.append(out.filter(pa.array(~more)).select(["w", "pos", "tok"]))
             rows = out.filter(pa.array(more)).select(["w", "pos", "tok"])
         return pa.concat_tables([t.cast(done[0].schema) for t in done])
 
-    def pieces(self, pieces: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """For these distinct pieces, and others: their ids, joined by spaces; and the bytes that the ids decode to, of the
-        pieces for which those are not the piece's own."""
-        if len(self.ids_of) > KNOWN:
-            self.ids_of, self.odd = {}, {}
-        pieces = [p for p in pieces if p not in self.ids_of]
-        spelt = [p.encode() for p in pieces]
-        wait: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
-        for p, b, rank in zip(pieces, spelt, map(self.ranks.get, spelt)):
-            if rank is None:
-                wait[len(b) > LONG].append((p, b))
-            else:
-                self.ids_of[p] = str(rank)
+    def ids_of_pieces(self, pieces) -> dict[str, str]:
+        """A dictionary with the ids of these distinct pieces, and others, joined by spaces."""
+        known = self.pieces_
+        wait: dict[bool, list[str]] = {False: [], True: []}
+        for p in known.missing(pieces):
+            wait[len(p) * 4 > LONG and len(p.encode()) > LONG].append(p)
         for long, todo in wait.items():
-            ends = list(accumulate(len(b) for _, b in todo))
+            spelt = [p.encode() for p in todo]
+            ends = list(accumulate(map(len, spelt)))
             at = 0
             while at < len(todo):
                 end = max(at + 1, bisect_right(ends, (ends[at - 1] if at else 0) + PIECE_BLOCK))
-                rows = self._fixpoint([b for _, b in todo[at:end]], long)
-                got = self._run("SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN vocabulary USING (tok) GROUP BY w ORDER BY w", rows=rows)
-                self.ids_of.update(zip([p for p, _ in todo[at:end]], got.column("ids").to_numpy()))
-                for (p, b), hexed in zip(todo[at:end], got.column("hex").to_numpy()):
-                    if bytes.fromhex(hexed) != b:
-                        self.odd[p] = bytes.fromhex(hexed)
+                rows = self._fixpoint(spelt[at:end], long)
+                got = self._run("SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM rows GROUP BY w ORDER BY w", rows=rows)
+                known.young.update(zip(todo[at:end], got.column("ids").to_pylist()))
                 at = end
-        return self.ids_of, self.odd
+        return known.young
+
+    def ids_of(self, chunks) -> dict[str, str]:
+        """A dictionary with the ids of these distinct chunks, and others, joined by spaces."""
+        new = self.runs_.missing(chunks)
+        if new:
+            pieces = list(map(self.split, new))
+            distinct = set().union(*pieces)
+            ids = self.ids_of_pieces(distinct)
+            self.runs_.young.update((c, " ".join(map(ids.__getitem__, p))) for c, p in zip(new, pieces))
+            self.pieces_.forget_long(distinct)
+        return self.runs_.young
+
+    def bytes_of(self, runs) -> dict[str, bytes]:
+        """A dictionary with the bytes that these distinct runs of ids stand for, and others."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        new = self.bytes_.missing(runs)
+        if new:
+            ids = pc.split_pattern(pa.array(new, pa.large_string()), " ")
+            self.bytes_.young.update(zip(new, self._decoded(pc.list_parent_indices(ids), pc.cast(pc.list_flatten(ids), pa.int32()), len(new))))
+        return self.bytes_.young
+
+    def _decoded(self, w, tok, n: int) -> list[bytes]:
+        """For rows (w, tok), in order: the bytes of each w from 0 to n - 1."""
+        import numpy as np
+        import pyarrow as pa
+
+        rows = pa.table({"w": w, "pos": np.arange(len(tok)), "tok": tok})
+        got = self._run("SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS spelt, count(hex) AS known, count(*) AS n FROM rows LEFT JOIN vocabulary USING (tok) GROUP BY w", rows=rows)
+        if (got.column("known").to_numpy() < got.column("n").to_numpy()).any():
+            raise ValueError("an id is not in the vocabulary")
+        out = [b""] * n
+        for k, spelt in zip(got.column("w").to_pylist(), got.column("spelt").to_pylist()):
+            out[k] = spelt
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
         import pyarrow as pa
 
-        rows = pa.table({"w": pa.array([k for k, x in enumerate(ids) for _ in x], pa.int64()), "pos": pa.array([i for x in ids for i in range(len(x))], pa.int64()), "tok": pa.array([t for x in ids for t in x], pa.int32())})
-        got = self._run("SELECT w, string_agg(hex, '' ORDER BY pos) AS hex, count(hex) AS known, count(*) AS n FROM rows LEFT JOIN vocabulary USING (tok) GROUP BY w", rows=rows)
-        out = [b""] * len(ids)
-        for w, hexed, known, n in zip(*(got.column(c).to_pylist() for c in ("w", "hex", "known", "n"))):
-            if known < n:
-                raise ValueError("an id is not in the vocabulary")
-            out[w] = bytes.fromhex(hexed)
-        return out
+        return self._decoded(pa.array([k for k, x in enumerate(ids) for _ in x], pa.int64()), pa.array([t for x in ids for t in x], pa.int32()), len(ids))
 
+    def chunks(self, text: str) -> list[str]:
+        """A text cut before each space that something other than white space follows: there every piece of PATTERN ends."""
+        if not self.cuts:
+            return [text] if text else []
+        if _RAGGED(text):
+            return [c for c in _CUTS.split(text) if c]
+        first, *rest = text.split(" ")
+        return ([first] if first else []) + [" " + c for c in rest]
 
+
+_RAGGED = re.compile(r" (?=\s|\Z)").search
+_CUTS = re.compile(r"(?= \S)")
 _own: dict = {}
 
 
-def _encoder(ranks: dict[bytes, int]) -> Encoder:
+def _encoder(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> Encoder:
     """This process's encoder; a worker keeps it from task to task."""
-    if _own.get("ranks") != ranks:
-        _own.update(ranks=ranks, encoder=Encoder(ranks))
+    if _own.get("of") != (ranks, pattern):
+        _own.update(of=(ranks, pattern), encoder=Encoder(ranks, pattern))
     return _own["encoder"]
 
 
@@ -215,44 +281,84 @@ def splitter(pattern: str = public_tokenizers.PATTERN):
     return regex.compile(own).findall
 
 
-def _blocks(batches, columns: int):
-    """Rows of the batches, in lists of about TEXT_BLOCK characters; the last column is the text."""
+def _slices(text: str, cuts: bool) -> Iterator[str]:
+    """A text in slices of about TEXT_BLOCK characters, cut where chunks end; whole if pieces may reach across."""
+    at = 0
+    while cuts and len(text) - at > TEXT_BLOCK and (m := _CUTS.search(text, at + TEXT_BLOCK)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def _blocks(batches, cuts: bool):
+    """Rows (id, slice of the text, whether it is the last) in lists of about TEXT_BLOCK characters."""
     block, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(columns))):
-            block.append(row)
-            size += len(row[-1] or "")
-            if size >= TEXT_BLOCK:
-                yield block
-                block, size = [], 0
+        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            before = None
+            for part in _slices(text or "", cuts):
+                if before is not None:
+                    block.append((key, before, False))
+                before = part
+                size += len(part)
+                if size >= TEXT_BLOCK and block:
+                    yield block
+                    block, size = [], len(part)
+            block.append((key, before, True))
     if block:
         yield block
 
 
+class _Document:
+    """What comes of one document, slice by slice."""
+
+    def __init__(self, with_ids: bool):
+        self.n, self.ids_hash, self.bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
+        self.ids, self.decoded = ([], []) if with_ids else (None, None)
+
+    def add(self, runs: list[str], bytes_of: dict[str, bytes]) -> None:
+        if not runs:
+            return
+        ids, decoded = " ".join(runs), b"".join(map(bytes_of.__getitem__, runs))
+        self.ids_hash.update((" " + ids if self.n else ids).encode())
+        self.bytes_hash.update(decoded)
+        self.n += ids.count(" ") + 1
+        if self.ids is not None:
+            self.ids += map(int, ids.split())
+            self.decoded.append(decoded)
+
+    def row(self, key) -> tuple:
+        more = () if self.ids is None else (self.ids, b"".join(self.decoded))
+        return key, self.n, self.ids_hash.hexdigest(), self.bytes_hash.hexdigest(), *more
+
+
 def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
     """A function for mapInArrow over (id, text)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, split = None, splitter(pattern)
-        for block in _blocks(batches, 2):
-            encoder = encoder or _encoder(ranks)
-            one: dict[str, str] = {}  # a string for each distinct piece, however often it occurs
-            texts = [[one.setdefault(p, p) for p in split(text)] if text else [] for _, text in block]
-            ids_of, odd = encoder.pieces(list(one))
-            columns: dict[str, list] = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
-            for (key, _), pieces in zip(block, texts):
-                ids = " ".join(map(ids_of.__getitem__, pieces))
-                decoded = b"".join([odd[p] if p in odd else p.encode() for p in pieces]) if odd else "".join(pieces).encode()
-                columns["id"].append(key)
-                columns["n_tokens"].append(ids.count(" ") + bool(ids))
-                columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                columns["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                if with_ids:
-                    columns["ids"].append([int(x) for x in ids.split()])
-                    columns["decoded"].append(decoded)
-            yield pa.RecordBatch.from_pydict(columns, pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else [])))
+        schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
+        doc = None
+        for block in _blocks(batches, pattern == public_tokenizers.PATTERN):
+            encoder = _encoder(ranks, pattern)
+            cut = [encoder.chunks(text) for _, text, _ in block]
+            distinct = set().union(*cut)
+            ids_of = encoder.ids_of(distinct)
+            runs = [list(map(ids_of.__getitem__, c)) for c in cut]
+            encoder.runs_.forget_long(distinct)
+            distinct = set().union(*runs)
+            bytes_of = encoder.bytes_of(distinct)
+            out = []
+            for (key, _, last), own in zip(block, runs):
+                doc = doc or _Document(with_ids)
+                doc.add(own, bytes_of)
+                if last:
+                    out.append(doc.row(key))
+                    doc = None
+            encoder.bytes_.forget_long(distinct)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 

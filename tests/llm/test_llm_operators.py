@@ -106,21 +106,71 @@ def test_byte_bpe(spark, odd, odd_rows, none, library):
         byte_bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
 
 
+def ids_by(encoder, text):
+    chunks = encoder.chunks(text)
+    assert "".join(chunks) == text
+    ids_of = encoder.ids_of(set(chunks))
+    return [int(x) for c in chunks for x in ids_of[c].split()]
+
+
 def test_byte_bpe_all_characters_and_long_pieces(library):
     import random
 
     rnd = random.Random(2)
-    encoder, split = byte_bpe.Encoder(byte_bpe.load_ranks()), byte_bpe.splitter()
+    encoder = byte_bpe.Encoder(byte_bpe.load_ranks())
     points = [chr(c) for c in range(0, 0x30000, 5) if not 0xD800 <= c < 0xE000]
     texts = ["".join("a" + c + "1 " + c + c + "  " for c in points), "ab" * 900, " " * 999 + "x", "".join(rnd.choice("abcdefgh") for _ in range(700)), "a'sB'LL 12,,3"]
+    texts += ["".join(rnd.choice([" ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "\xa0", "a", "Bc", "1", "'s", "?", "é"]) for _ in range(30)) for _ in range(3000)]
     for text in texts:
-        pieces = split(text)
-        ids_of, odd = encoder.pieces(list(set(pieces)))
-        ids = [int(x) for p in pieces for x in ids_of[p].split()]
-        assert ids == library.encode_ordinary(text) and not odd
+        ids = ids_by(encoder, text)
+        assert ids == library.encode_ordinary(text)
         assert encoder.decode([ids]) == [text.encode()]
 
 
+def test_byte_bpe_tokens_are_rows_like_others(library):
+    """Every token that is a text is its own id, whether or not merges lead to it."""
+    ranks = byte_bpe.load_ranks()
+    whole = {t.decode(): str(r) for t, r in ranks.items() if t.decode("utf-8", "ignore").encode() == t}
+    ids = byte_bpe.Encoder(ranks).ids_of_pieces(set(whole))
+    assert {t: ids[t] for t in whole} == whole
+
+
+def test_byte_bpe_slices_and_generations(spark, odd_rows, none, library, monkeypatch):
+    """Texts longer than a block, and a memory that forgets all the time."""
+    for name, value in (("TEXT_BLOCK", 100), ("KNOWN", 20), ("KNOWN_LENGTH", 9), ("PIECE_BLOCK", 300), ("ROUND", 5)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    byte_bpe._own.clear()
+    import pyarrow as pa
+
+    rows = [(r[0], r[1]) for r in odd_rows] + [(300, "e" * 700 + " f" * 90), (301, " \n  x" * 40)]
+    batches = pa.Table.from_pylist([{"id": k, "text": t} for k, t in rows], pa.schema([("id", pa.int64()), ("text", pa.string())])).to_batches(max_chunksize=7)
+    out = [tuple(r.values()) for b in byte_bpe.encode_rows(byte_bpe.load_ranks(), public_tokenizers.PATTERN, True)(iter(batches)) for r in b.to_pylist()]
+    byte_bpe._own.clear()
+    want = [(k, ids := library.encode_ordinary(t or ""), t or "") for k, t in rows]
+    assert out == [(k, len(ids), sha(" ".join(map(str, ids))), sha(t), ids, t.encode()) for k, ids, t in want]
+
+
+def test_byte_bpe_decodes_its_ids(monkeypatch):
+    """What is decoded are the ids: one that is changed changes the text."""
+    import pyarrow as pa
+
+    encoder_ids = byte_bpe.Encoder.ids_of
+
+    def corrupt(self, chunks):
+        out = dict(encoder_ids(self, chunks))
+        out[" fine"] = "11"  # of one document; its true id is another
+        return out
+
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["all is fine here", "all is well here"]})
+    run = lambda: [r for b in byte_bpe.encode_rows(byte_bpe.load_ranks(), public_tokenizers.PATTERN, True)(iter([batch])) for r in b.to_pylist()]
+    right = run()
+    monkeypatch.setattr(byte_bpe.Encoder, "ids_of", corrupt)
+    wrong = run()
+    assert right[1] == wrong[1] and right[0]["ids_sha256"] != wrong[0]["ids_sha256"]
+    assert right[0]["decoded"] == b"all is fine here" and wrong[0]["decoded"] == b"all is, here"
+    assert wrong[0]["decoded_sha256"] == sha("all is, here")
+
+
 CONV = "conv_id long, turn long, role string, text string"
 
 
