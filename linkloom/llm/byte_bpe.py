@@ -35,7 +35,7 @@ PIECE_BLOCK = 250_000
 #: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps, fewer if they are very long.
 LONG = 64
 ROUND = 64
-#: Entries of a memory's younger generation, and characters of the longest key that is remembered.
+#: Entries of a memory's younger generation (of pieces: twice as many), and characters of the longest key that is remembered.
 KNOWN = 250_000
 KNOWN_LENGTH = 200
 
@@ -46,25 +46,24 @@ _PAIRS = """
     JOIN merges m USING (pair)"""
 
 #: Short pieces: one contraction for each piece and step. A row knows its neighbour to the right (npos, ntok) and, as one
-#: number, the rank of their pair, its own place and the neighbour's; only rows beside a contraction look up a new rank.
+#: number, the rank of their pair, its own place and the neighbour's. Of the two tokens of a contraction the right one's row
+#: stays, as it knows what follows; only rows beside a contraction look up a new rank.
 _SHORT = """
     WITH RECURSIVE t(step, w, pos, tok, npos, ntok, key) AS (
         SELECT 0, s.w, s.pos, s.tok, s.npos, s.ntok, (m.rank::BIGINT << 40) | (s.pos << 20) | s.npos
         FROM seed s LEFT JOIN merges m ON m.pair = (s.tok::BIGINT << 20) | s.ntok
         UNION ALL
         SELECT c.step + 1, c.w, c.pos,
-               CASE WHEN c.pos = b.place THEN b.best ELSE c.tok END,
-               CASE WHEN c.pos = b.place THEN b.npos ELSE c.npos END,
-               CASE WHEN c.pos = b.place THEN b.ntok WHEN c.npos = b.place THEN b.best ELSE c.ntok END,
-               CASE WHEN c.pos = b.place THEN b.key WHEN c.npos = b.place THEN (m.rank::BIGINT << 40) | (c.pos << 20) | c.npos ELSE c.key END
-        FROM t c
-        JOIN (SELECT a.w, a.best, a.place, a.gone, g.npos, g.ntok, (m.rank::BIGINT << 40) | (a.place << 20) | g.npos AS key
-              FROM (SELECT w, k >> 40 AS best, (k >> 20) & 1048575 AS place, k & 1048575 AS gone
-                    FROM (SELECT w, min(key) AS k FROM t GROUP BY w) WHERE k IS NOT NULL) a
-              JOIN t g ON g.w = a.w AND g.pos = a.gone
-              LEFT JOIN merges m ON m.pair = (a.best << 20) | g.ntok) b ON b.w = c.w
-        LEFT JOIN merges m ON m.pair = CASE WHEN c.npos = b.place THEN (c.tok::BIGINT << 20) | b.best END
-        WHERE c.pos <> b.gone
+               CASE WHEN c.pos = c.gone THEN c.best ELSE c.tok END, c.next,
+               CASE WHEN c.npos = c.place THEN c.best ELSE c.ntok END,
+               CASE WHEN c.pair IS NULL THEN c.key ELSE (m.rank::BIGINT << 40) | (c.pos << 20) | c.next END
+        FROM (SELECT t.*, b.best, b.place, b.gone, CASE WHEN t.npos = b.place THEN b.gone ELSE t.npos END AS next,
+                     CASE WHEN t.pos = b.gone THEN (b.best << 20) | t.ntok WHEN t.npos = b.place THEN (t.tok::BIGINT << 20) | b.best END AS pair
+              FROM t
+              JOIN (SELECT w, k >> 40 AS best, (k >> 20) & 1048575 AS place, k & 1048575 AS gone
+                    FROM (SELECT w, min(key) AS k FROM t GROUP BY w) WHERE k IS NOT NULL) b ON b.w = t.w
+              WHERE t.pos <> b.place) c
+        LEFT JOIN merges m ON m.pair = c.pair
     )
     SELECT w, pos, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)"""
 
@@ -102,25 +101,20 @@ class Memory:
     """A dictionary of two generations."""
 
     def __init__(self, most: int):
-        self.young, self.old, self.most = {}, {}, most
+        self.young, self.old, self.most, self.long = {}, {}, most, []
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """The keys that are unknown; the others are in the younger generation from now on."""
+        for k in self.long:
+            self.young.pop(k, None)
         if len(self.young) > self.most:
-            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= KNOWN_LENGTH}, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-        return out
-
-    def forget_long(self, keys) -> None:
-        for k in keys:
-            if len(k) > KNOWN_LENGTH:
-                self.young.pop(k, None)
+            self.old, self.young = self.young, {}
+        rest = keys.difference(self.young)
+        new = rest.difference(self.old)
+        again = rest - new
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        self.long = [k for k in new if len(k) > KNOWN_LENGTH]
+        return list(new)
 
 
 class Encoder:
@@ -133,7 +127,7 @@ class Encoder:
 
         self.ranks, self.split = ranks, splitter(pattern)
         self.cuts = pattern == public_tokenizers.PATTERN
-        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(KNOWN), Memory(KNOWN)
+        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(2 * KNOWN), Memory(KNOWN)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges, unsafe = [], set()
         for token, rank in ranks.items():
@@ -188,7 +182,7 @@ class Encoder:
             rows = out.filter(pa.array(more)).select(["w", "pos", "tok"])
         return pa.concat_tables([t.cast(done[0].schema) for t in done])
 
-    def ids_of_pieces(self, pieces) -> dict[str, str]:
+    def ids_of_pieces(self, pieces: set) -> dict[str, str]:
         """A dictionary with the ids of these distinct pieces, and others, joined by spaces."""
         known = self.pieces_
         wait: dict[bool, list[str]] = {False: [], True: []}
@@ -206,18 +200,16 @@ class Encoder:
                 at = end
         return known.young
 
-    def ids_of(self, chunks) -> dict[str, str]:
+    def ids_of(self, chunks: set) -> dict[str, str]:
         """A dictionary with the ids of these distinct chunks, and others, joined by spaces."""
         new = self.runs_.missing(chunks)
         if new:
             pieces = list(map(self.split, new))
-            distinct = set().union(*pieces)
-            ids = self.ids_of_pieces(distinct)
+            ids = self.ids_of_pieces(set().union(*pieces))
             self.runs_.young.update((c, " ".join(map(ids.__getitem__, p))) for c, p in zip(new, pieces))
-            self.pieces_.forget_long(distinct)
         return self.runs_.young
 
-    def bytes_of(self, runs) -> dict[str, bytes]:
+    def bytes_of(self, runs: set) -> dict[str, bytes]:
         """A dictionary with the bytes that these distinct runs of ids stand for, and others."""
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -346,9 +338,7 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
             distinct = set().union(*cut)
             ids_of = encoder.ids_of(distinct)
             runs = [list(map(ids_of.__getitem__, c)) for c in cut]
-            encoder.runs_.forget_long(distinct)
-            distinct = set().union(*runs)
-            bytes_of = encoder.bytes_of(distinct)
+            bytes_of = encoder.bytes_of(set(map(ids_of.__getitem__, distinct)))
             out = []
             for (key, _, last), own in zip(block, runs):
                 doc = doc or _Document(with_ids)
@@ -356,7 +346,6 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
                 if last:
                     out.append(doc.row(key))
                     doc = None
-            encoder.bytes_.forget_long(distinct)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
