@@ -39,23 +39,31 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _once(of, a: pd.Series, b: pd.Series) -> pd.Series:
+    """of(x, y) for each row; equal pairs of a batch are computed once."""
+    pairs = list(zip(a.fillna(""), b.fillna("")))
+    found = {p: of(*p) for p in set(pairs)}
+    return pd.Series([found[p] for p in pairs], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence against both lengths; 1.0 if both are empty."""
 
     def one(x, y):
-        x, y = x or "", y or ""
         if x == y:
             return 1.0
+        if not set(x) & set(y):
+            return 0.0
         return 2.0 * common_length(x, y) / (len(x) + len(y))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    return _once(one, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The diagnostic ratio by longest matching blocks."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+    return _once(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio(), a, b)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import normalize as N
 from linkloom.operators.postings import BlockConfig, capped, document_frequency, exploded, posting_sizes, prepared, rarest, smallest_posting
+from linkloom.sources.shared import kept
 
 
 def _split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,12 +32,10 @@ def union(*edges: DataFrame) -> DataFrame:
 
 
 def checked_union(spine: DataFrame, *edges: DataFrame) -> DataFrame:
-    """union, after making sure that every pair's S1 entity is in the spine."""
-    out = union(*edges)
-    unknown = out.join(spine, "s1_id", "left_anti").limit(1).collect()
-    if unknown:
-        raise ValueError(f"unknown S1 entity: {unknown[0]['s1_id']}")
-    return out
+    """union; the query that uses it fails if a pair's S1 entity is not in the spine."""
+    known = spine.select("s1_id", F.lit(True).alias("known")).distinct()
+    rows = union(*edges).join(known, "s1_id", "left")
+    return rows.where(F.coalesce("known", F.raise_error(F.concat(F.lit("unknown S1 entity: "), F.col("s1_id"))).cast("boolean"))).select("s1_id", "cand_id")
 
 
 def exact(records: DataFrame, key: Column, guarded: bool = True) -> DataFrame:
@@ -81,9 +80,13 @@ def _address_layer(best: DataFrame, anchors: DataFrame, names: DataFrame, addres
     return _pairs(left, right, ["country", "token", "addr_token"]).distinct()
 
 
+#: Columns of prepared records that layers use.
+PREPARED = ("entity_id", "src", "name", "addr", "ctry", "number")
+
+
 def layered(records: DataFrame, config: BlockConfig) -> DataFrame:
     """Exact name; rare name tokens with the house number; rare name tokens with the rarest address token."""
-    rows = prepared(records)
+    rows = kept(prepared(records).select(*PREPARED))
     s1_names, ref_names = _name_tokens(rows, config)
     df = document_frequency(ref_names)
     anchors = rarest(s1_names, df, config.top_k, config.max_df).select("entity_id", "country", "token").distinct()
@@ -91,7 +94,7 @@ def layered(records: DataFrame, config: BlockConfig) -> DataFrame:
     s1, ref = _split(rows)
     addresses = capped(exploded(ref, N.tokens(F.col("addr"), config.min_len)), config.posting_cap)
     best = smallest_posting(exploded(s1, N.tokens(F.col("addr"), config.min_len), place=True), posting_sizes(addresses), config.ties_by_place)
-    return union(exact_name(records), _number_layer(rows, anchors, names, "ctry"), _address_layer(best, anchors, names, addresses))
+    return union(exact(rows, F.col("name")), _number_layer(rows, anchors, names, "ctry"), _address_layer(best, anchors, names, addresses))
 
 
 def v1(records: DataFrame, **changes) -> DataFrame:
@@ -110,7 +113,7 @@ def v3(records: DataFrame, **changes) -> DataFrame:
 def bounded(records: DataFrame, **changes) -> DataFrame:
     """Unions of capped postings without intersection."""
     config = BlockConfig(**{"top_k": 2} | changes)
-    rows = prepared(records)
+    rows = kept(prepared(records).select(*PREPARED))
     s1_names, ref_names = _name_tokens(rows, config)
     df = document_frequency(ref_names)
     anchors = rarest(s1_names, df, config.top_k, config.max_df)
@@ -119,7 +122,7 @@ def bounded(records: DataFrame, **changes) -> DataFrame:
     numbers = capped(exploded(ref, F.filter(F.array("number"), lambda x: x != "")), config.number_cap)
     addresses = capped(exploded(ref, N.tokens(F.col("addr"), config.min_len)), config.address_cap)
     return union(
-        exact_name(records),
+        exact(rows, F.col("name")),
         _pairs(anchors, names, ["country", "token"]),
         _pairs(exploded(s1, F.filter(F.array("number"), lambda x: x != "")), numbers, ["country", "token"]),
         _pairs(exploded(s1, N.tokens(F.col("addr"), config.min_len)), addresses, ["country", "token"]),
@@ -128,16 +131,16 @@ def bounded(records: DataFrame, **changes) -> DataFrame:
 
 def pilot_variants(records: DataFrame, max_posting: int = 50_000, min_len: int = 4) -> dict[str, DataFrame]:
     """Five variants; the name anchor is the smallest posting within the raw country, not the globally rarest token."""
-    rows = prepared(records)
+    rows = kept(prepared(records).select(*PREPARED, "country"))
     s1, ref = _split(rows)
     toks = lambda part, column: exploded(part, N.tokens(F.col(column), min_len), "country")
     names, addresses = toks(ref, "name"), toks(ref, "addr")
     anchors = smallest_posting(toks(s1, "name"), posting_sizes(names), max_size=max_posting)
     best = smallest_posting(toks(s1, "addr"), posting_sizes(addresses), max_size=max_posting)
-    a = exact(records, N.ascii_text(F.col("business_address")))
+    a = exact(rows, F.col("addr"))
     b = _number_layer(rows, anchors, names, "country")
     c = _address_layer(best, anchors, names, addresses)
-    name = exact_name(records)
+    name = exact(rows, F.col("name"))
     return {"a_exact_address": a, "b_number_name": b, "c_address_name": c, "d_name_plus_b": union(name, b), "e_name_plus_c": union(name, c)}
 
 
@@ -159,17 +162,17 @@ def df_limit(ref: DataFrame, fraction: float, least: int) -> DataFrame:
 def address_tokens(records: DataFrame, **changes) -> DataFrame:
     """Rare address tokens: a cap on frequency, then a cap on buckets over all countries, then the rarest of each side."""
     config = BlockConfig(**changes)
-    s1, ref = _split(canonical(records).where("address <> ''"))
+    s1, ref = _split(kept(canonical(records).where("address <> ''")))
     s1_tok, ref_tok = (exploded(x, N.tokens(F.lower("address"))) for x in (s1, ref))
     df = document_frequency(ref_tok).crossJoin(F.broadcast(df_limit(ref, config.df_fraction, 1))).where(F.col("df") <= F.col("limit")).select("token", "df")
-    kept = capped(ref_tok.join(df.select("token"), "token", "left_semi"), config.bucket_cap, ("token",), ("entity_id",))
-    return shared_tokens(rarest(s1_tok, df, config.s1_k), rarest(kept, df, config.ref_k), config.min_shared)
+    buckets = capped(ref_tok.join(df.select("token"), "token", "left_semi"), config.bucket_cap, ("token",), ("entity_id",))
+    return shared_tokens(rarest(s1_tok, df, config.s1_k), rarest(buckets, df, config.ref_k), config.min_shared)
 
 
 def purged_address_tokens(records: DataFrame, **changes) -> DataFrame:
     """As address_tokens, but whole buckets that are too large go, on both sides, and tokens are ASCII."""
     config = BlockConfig(**changes)
-    s1, ref = _split(canonical(records))
+    s1, ref = _split(kept(canonical(records)))
     s1_tok, ref_tok = (exploded(x, N.alnum_tokens(F.col("address"))) for x in (s1, ref))
     df = document_frequency(ref_tok).crossJoin(F.broadcast(df_limit(ref, config.df_fraction, 0))).where((F.col("df") <= F.col("limit")) & (F.col("df") <= config.bucket_cap)).select("token", "df")
     return shared_tokens(rarest(s1_tok, df, config.ref_k), rarest(ref_tok, df, config.ref_k), config.min_shared)

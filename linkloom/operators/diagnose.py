@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import normalize as N
 from linkloom.functions import similarity as S
+from linkloom.operators.evaluate import DECIMALS
 from linkloom.operators.features import with_records
+from linkloom.sources.shared import kept
 
 # The predicates of the profile of missed pairs.
 MISS_PREDICATES = {
@@ -27,7 +29,7 @@ def overmatched(spine_counts: DataFrame) -> DataFrame:
 
 
 def overmatch_report(counts: DataFrame, predicted: DataFrame, truth: DataFrame, scored: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """The predictions of overmatched entities, with score, features if given, and whether they are true; true ones first."""
+    """The predictions of overmatched entities, with score, features if given, and whether they are true; false ones first."""
     key = ["s1_id", "cand_id"]
     rows = predicted.select(*key).distinct().join(overmatched(counts).select("s1_id"), "s1_id", "left_semi")
     rows = rows.join(truth.select(*key).distinct().withColumn("t", F.lit(1)), key, "left").join(scored.select(*key, "score"), key, "left")
@@ -46,7 +48,7 @@ def missed_pairs(truth: DataFrame, edges: DataFrame, ref: DataFrame) -> DataFram
 
 
 def miss_features(missed: DataFrame, rows: DataFrame, similar=S.matching_blocks_ratio) -> DataFrame:
-    """Similarities of missed pairs. rows: entity_id, name, addr, ctry, number in ASCII form."""
+    """Similarities and texts of missed pairs. rows: entity_id, name, addr, ctry, number in ASCII form."""
     pairs = with_records(missed, rows.select("entity_id", "name", "addr", "ctry", "number"))
     tok = lambda c: N.tokens(F.col(c))
     shared = lambda c: F.size(F.array_intersect(tok(f"a.{c}"), tok(f"b.{c}")))
@@ -56,6 +58,7 @@ def miss_features(missed: DataFrame, rows: DataFrame, similar=S.matching_blocks_
         S.equal(F.col("a.addr"), F.col("b.addr")).alias("address_exact"), similar(F.col("a.addr"), F.col("b.addr")).alias("address_ratio"),
         S.jaccard(tok("a.addr"), tok("b.addr")).alias("address_jaccard"), S.overlap(tok("a.addr"), tok("b.addr")).alias("address_overlap"), shared("addr").alias("shared_address_tokens"),
         S.equal(F.col("a.number"), F.col("b.number")).alias("address_number_equal"), S.equal(F.col("a.ctry"), F.col("b.ctry")).alias("country_equal"),
+        F.col("a.name").alias("s1_name"), F.col("b.name").alias("true_name"), F.col("a.addr").alias("s1_address"), F.col("b.addr").alias("true_address"),
     )
 
 
@@ -66,13 +69,38 @@ def miss_profile(features: DataFrame) -> DataFrame:
     return sums.select("all", pairs.alias("x")).select("x.predicate", "x.pairs", F.coalesce(F.try_divide("x.pairs", "all"), F.lit(0.0)).alias("share"))
 
 
+#: Bins that the values of a column fall into.
+BINS = 4096
+
+
 def describe(rows: DataFrame, columns: list[str], points: tuple = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact percentiles of each column, a row each."""
-    one = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"),
-        *[F.percentile(c, p).alias(f"p{round(100 * p):02d}") for p in points],
-    )
-    return rows.agg(F.array(*[one(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """Count, mean, sample deviation, extremes and exact percentiles of each column, a row each.
+
+    Equal values are counted first; ranks then follow from the counts of bins and from sums within each bin, so that no
+    task holds a column's values.
+    """
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+    counts = kept(rows.select(F.explode(F.array(*[one(c) for c in columns])).alias("x")).select("x.*").groupBy("column", "v").agg(F.count("v").alias("n")))
+    weighted = counts.groupBy("column").agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"), F.min("v").alias("min"), F.max("v").alias("max"))
+    off = (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")) * F.col("x.n")
+    facts = counts.alias("x").join(F.broadcast(weighted.select("column", "m")), "column").groupBy("column").agg(F.sum(off).alias("off"))
+    facts = kept(weighted.join(facts, "column"))  # a row for each column
+    small = F.broadcast(facts.select("column", F.col("n").alias("total"), F.col("min").alias("low"), F.col("max").alias("high")))
+    bin_ = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)).otherwise(F.lit(0))
+    binned = counts.where("v IS NOT NULL").join(small, "column").withColumn("bin", bin_)
+    before = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("column", "bin").agg(F.sum("n").alias("size")).select("column", "bin", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("column", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = binned.join(F.broadcast(bins), ["column", "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    at = lambda p: F.lit(p) * (F.col("total") - 1)
+    holds = lambda rank: (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+    ends = [F.max(F.when(holds(f(at(p))), F.col("v"))).alias(f"{side}{k}") for k, p in enumerate(points) for side, f in (("l", F.floor), ("h", F.ceil))]
+    found = placed.groupBy("column").agg(F.first("total").alias("total"), *ends)
+    value = lambda k, p: F.round(F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * (at(p) - F.floor(at(p))), DECIMALS)
+    found = found.select("column", *[value(k, p).alias(f"p{round(100 * p):02d}") for k, p in enumerate(points)])
+    std = F.when(F.col("n") > 1, F.round(F.sqrt(F.col("off") / (F.col("n") - 1)), DECIMALS))
+    out = facts.join(found, "column", "left")
+    return out.select("column", "n", F.round("m", DECIMALS).alias("mean"), std.alias("std"), "min", "max", *[c for c in found.columns if c != "column"])
 
 
 def column_profile(records: DataFrame, columns: tuple = ("business_name", "business_address", "country")) -> DataFrame:

@@ -5,10 +5,14 @@ Everything is counted over the spine of S1 entities, so that those without a can
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Decimals of means over entities, which depend on the order of summation beyond them.
+DECIMALS = 6
+
+
 def predictions(scored: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose score is at least the threshold."""
     return scored.where(F.col("score") >= threshold).select("s1_id", "cand_id")
@@ -47,7 +51,7 @@ def macro(scores: DataFrame) -> DataFrame:
     """Means over all entities and over those with and without a match."""
     part = F.when(F.col("is_singleton"), "singleton").otherwise("matched")
     rows = scores.select(F.explode(F.array(F.lit("all"), part)).alias("part"), "precision", "recall", "f0_5")
-    return rows.groupBy("part").agg(F.count("*").alias("entities"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f0_5")])
+    return rows.groupBy("part").agg(F.count("*").alias("entities"), *[F.round(F.avg(c), DECIMALS).alias(f"macro_{c}") for c in ("precision", "recall", "f0_5")])
 
 
 def bucketed(scores: DataFrame) -> DataFrame:
@@ -64,28 +68,52 @@ def bucketed(scores: DataFrame) -> DataFrame:
     return scores.withColumn("category", category)
 
 
+def error_report(buckets: DataFrame) -> DataFrame:
+    """The worst entities first."""
+    return buckets.orderBy("f0_5", "s1_id")
+
+
 def bucket_summary(buckets: DataFrame) -> DataFrame:
-    return buckets.groupBy("category").agg(F.count("*").alias("entities"), F.avg("f0_5").alias("mean_f0_5")).orderBy(F.desc("entities"), "category")
+    return buckets.groupBy("category").agg(F.count("*").alias("entities"), F.round(F.avg("f0_5"), DECIMALS).alias("mean_f0_5")).orderBy(F.desc("entities"), "category")
 
 
-def bucket_by_country(buckets: DataFrame, countries: DataFrame, values: list[str]) -> DataFrame:
-    """Entities by category and country, zeros filled in. countries: (s1_id, country)."""
+def bucket_by_country(buckets: DataFrame, countries: DataFrame, values: list[str] | None = None) -> DataFrame:
+    """Entities by category and country, zeros filled in. countries: (s1_id, country); values: those that get a column,
+    else all that occur."""
     rows = buckets.join(countries, "s1_id", "left")
     return rows.groupBy("category").pivot("country", values).count().na.fill(0)
 
 
 def sweep(spine: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Macro scores for every threshold, from one pass: each pair counts for the thresholds up to its score."""
-    steps = F.array(*[F.lit(t) for t in thresholds])
-    reached = scored.select("s1_id", "cand_id", F.explode(F.filter(steps, lambda t: t <= F.col("score"))).alias("threshold"))
-    hits = reached.join(truth.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
-    counts = hits.groupBy("s1_id", "threshold").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
-    n_true = truth.distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
-    grid = spine.join(n_true, "s1_id", "left").select("s1_id", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(steps).alias("threshold"))
-    rows = grid.join(counts, ["s1_id", "threshold"], "left").na.fill(0, ["n_pred", "tp"])
-    p, r, f = _scores(F.col("n_true"), F.col("n_pred"), F.col("tp"))
-    rows = rows.select("threshold", p.alias("p"), r.alias("r"), f.alias("f"))
-    return rows.groupBy("threshold").agg(F.avg("f").alias("macro_f0_5"), F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"))
+    """Macro scores for every threshold (ascending), from one pass and without a row for each pair and threshold.
+
+    Pairs are labelled first and counted by S1 entity and the number of thresholds that they reach. Over an entity's
+    counts, summed from the highest number down, its scores change only where it has pairs; the changes, summed over all
+    entities by that number and then from the top, and the scores without any prediction, give each threshold's sums.
+    """
+    key = ["s1_id", "cand_id"]
+    steps = sorted(thresholds)
+    reached = F.array_size(F.filter(F.array(*[F.lit(t) for t in steps]), lambda t: t <= F.col("score")))
+    true = truth.select(*key).distinct().select(*key, F.lit(1).alias("t"), F.lit(0).alias("at"), F.lit(0).alias("p"))
+    pairs = scored.select(*key, F.lit(0), reached, F.lit(1))
+    marks = true.unionAll(pairs).groupBy(*key).agg(F.max("t").alias("t"), F.max("at").alias("at"), F.max("p").alias("p"))
+    counts = marks.groupBy("s1_id", "at").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.col("t") * F.col("p")).alias("tp"))
+    down = Window.partitionBy("s1_id").orderBy(F.desc("at"))
+    so_far = lambda c, to: F.coalesce(F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, to)), F.lit(0))
+    n_true = F.sum("t").over(Window.partitionBy("s1_id"))
+    counts = counts.select("s1_id", "at", n_true.alias("n_true"), *[so_far(c, to).alias(f"{c}{-to}") for c in ("p", "tp") for to in (0, -1)])
+    known = counts.join(spine, "s1_id", "left_semi")
+    after, before = (_scores(F.col("n_true"), F.col(f"p{k}"), F.col(f"tp{k}")) for k in (0, 1))
+    names = ("p", "r", "f")
+    changes = known.where("at > 0").groupBy("at").agg(*[F.sum(x - y).alias(n) for n, x, y in zip(names, after, before)])
+    # Without a prediction: F0.5 and precision are 1 for entities without a true match and 0 for others, recall likewise.
+    matched = known.where("n_true > 0").select("s1_id").distinct().agg(F.count("*").alias("m"))
+    total = spine.agg(F.count("*").alias("n")).crossJoin(matched)
+    rows = spine.sparkSession.createDataFrame(list(enumerate(steps, 1)), "at int, threshold double")
+    from_above = Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(changes), "at", "left").select("threshold", *[F.coalesce(F.sum(n).over(from_above), F.lit(0.0)).alias(n) for n in names])
+    mean = lambda c: F.round((F.col("n") - F.col("m") + F.col(c)) / F.col("n"), DECIMALS)
+    return rows.crossJoin(F.broadcast(total)).select("threshold", mean("f").alias("macro_f0_5"), mean("p").alias("macro_precision"), mean("r").alias("macro_recall"))
 
 
 def thresholds(start: str, stop: str, step: str) -> list[float]:

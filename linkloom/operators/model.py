@@ -22,6 +22,20 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs).select("s1_id", "cand_id", vector_to_array("probability")[1].alias("score"))
 
 
+def expression(model: PipelineModel, features: tuple = FEATURES) -> str:
+    """The score as one SQL expression over the features: each tree is a CASE, their weighted sum goes through a logistic."""
+    boosted = model.stages[-1]
+
+    def one(node) -> str:
+        if node.subtreeDepth() == 0:
+            return f"CAST({node.prediction()!r} AS DOUBLE)"
+        split = node.split()
+        return f"(CASE WHEN {features[split.featureIndex()]} <= CAST({split.threshold()!r} AS DOUBLE) THEN {one(node.leftChild())} ELSE {one(node.rightChild())} END)"
+
+    total = " + ".join(f"CAST({w!r} AS DOUBLE) * {one(t._call_java('rootNode'))}" for t, w in zip(boosted.trees, boosted.treeWeights))
+    return f"1.0 / (1.0 + exp(-2.0 * ({total})))"
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

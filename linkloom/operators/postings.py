@@ -1,7 +1,7 @@
 """Postings (entity, country, token), document frequencies, anchors and caps.
 
-Postings are rows, never lists: a token's entities lie as many rows over many tasks, and caps are windows that Spark
-prunes on the map side.
+Postings are rows, never lists: a token's entities lie as many rows over many tasks. Small caps are windows that Spark
+prunes on the map side; it does so up to PRUNED rows, so that larger caps are windows over salted keys first.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from linkloom.functions import normalize as N
 
 
+#: Rows of a window up to which Spark prunes before the shuffle, and salts of a key where it does not.
+PRUNED, SALTS = 1000, 64
+
+
 @dataclass(frozen=True)
 class BlockConfig:
     """What tells the blockers apart."""
@@ -57,9 +61,15 @@ def posting_sizes(postings: DataFrame) -> DataFrame:
 
 
 def capped(postings: DataFrame, cap: int, key: tuple = ("country", "token"), order: tuple = ("src", "entity_id")) -> DataFrame:
-    """The first rows of each posting, in a total order."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return postings.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
+    """The first rows of each posting, in a total order.
+
+    Of a large posting, each salt's first rows are found in a task of their own; no more than SALTS * cap rows of a key
+    meet in the end.
+    """
+    first = lambda rows, by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+    if cap > PRUNED:
+        postings = first(postings.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))), (*key, "_salt")).drop("_salt")
+    return first(postings, key)
 
 
 def rarest(postings: DataFrame, df: DataFrame, k: int, max_df: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from linkloom.functions.normalize import ADDRESS_WORDS, COUNTRY_ALIASES, LEGAL_SUFFIXES
 from linkloom.operators.diagnose import MISS_PREDICATES
+from linkloom.plans.fixtures import AWKWARD, BY_HAND
 from linkloom.plans.params import CAPS, F2, MAX_DF, PILOT, SCORE_AT, THRESHOLDS
 
 
@@ -140,6 +141,9 @@ _EXTRA = {
 }
 
 
+_EXTRA["canonn"] = f"SELECT *, list_distinct({_list('name')}) AS nt FROM canon"
+
+
 def _with(tables: dict[str, str], last: str, recursive: bool = False) -> str:
     """The tables that `last` needs, each after those that it needs itself, then `last`."""
     every = TABLES | _EXTRA | tables
@@ -164,18 +168,36 @@ _BASIC_PRED = _pred("SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM nr
 _V1_PRED = _V1 | _pred("SELECT * FROM edges")
 _SCORED_PRED = _V1 | _pred(f"SELECT s1_id, cand_id FROM scored WHERE score >= {SCORE_AT}")
 _STEPS = "(SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in THRESHOLDS) + "]) AS threshold)"
-_SWEEP = f"""SELECT threshold, avg(f) AS macro_f0_5, avg(p) AS macro_precision, avg(r) AS macro_recall FROM (SELECT *, {_FS} AS f FROM (SELECT *, {_P} AS p, {_R} AS r FROM (
+_SWEEP = f"""SELECT threshold, round(avg(f), 6) AS macro_f0_5, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall FROM (SELECT *, {_FS} AS f FROM (SELECT *, {_P} AS p, {_R} AS r FROM (
     SELECT s1_id, threshold, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM spine CROSS JOIN {_STEPS}
     LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM (SELECT DISTINCT * FROM gt) GROUP BY s1_id) USING (s1_id)
     LEFT JOIN (SELECT s.s1_id, threshold, count(*) AS n_pred, count(g.s1_id) AS tp FROM scored s JOIN {_STEPS} ON threshold <= score LEFT JOIN (SELECT DISTINCT * FROM gt) g USING (s1_id, cand_id) GROUP BY ALL) USING (s1_id, threshold)))) GROUP BY threshold"""
 _MISS = f"""SELECT s1_id, cand_id, {_eq('name')} AS name_exact, {_jaccard('a.nt', 'b.nt')} AS name_jaccard, {_overlap('a.nt', 'b.nt')} AS name_overlap, len(list_intersect(a.nt, b.nt)) AS shared_name_tokens,
     {_eq('addr')} AS address_exact, {_jaccard('a.at', 'b.at')} AS address_jaccard, {_overlap('a.at', 'b.at')} AS address_overlap, len(list_intersect(a.at, b.at)) AS shared_address_tokens, {_eq('number')} AS address_number_equal, {_eq('country')} AS country_equal,
-    a.name AS an, b.name AS bn, a.addr AS aa, b.addr AS ba
+    a.name AS s1_name, b.name AS true_name, a.addr AS s1_address, b.addr AS true_address
     FROM missed JOIN (SELECT * FROM nrm JOIN toks USING (entity_id)) a ON a.entity_id = s1_id JOIN (SELECT * FROM nrm JOIN toks USING (entity_id)) b ON b.entity_id = cand_id"""
-_MISSED = {"missed": "SELECT DISTINCT s1_id, cand_id FROM gt ANTI JOIN edges USING (s1_id, cand_id)"}
-_MISS_LCS = _V1 | _MISSED | {"miss0": _MISS} | _LCS | {
-    "texts": "SELECT an AS x, bn AS y FROM miss0 UNION SELECT aa, ba FROM miss0",
-    "miss": "SELECT m.*, CASE WHEN an = bn THEN 1.0::DOUBLE WHEN an = '' OR bn = '' THEN 0.0::DOUBLE ELSE s.ratio END AS name_ratio, CASE WHEN aa = ba THEN 1.0::DOUBLE WHEN aa = '' OR ba = '' THEN 0.0::DOUBLE ELSE t.ratio END AS address_ratio FROM miss0 m LEFT JOIN sim s ON s.x = an AND s.y = bn LEFT JOIN sim t ON t.x = aa AND t.y = ba",
+_MISSED = _V1 | {"missed": "SELECT DISTINCT s1_id, cand_id FROM edges ANTI JOIN f2 USING (s1_id, cand_id)"}
+#: Lengths of the matching blocks of all pairs of texts in `texts` (x, y): the longest block first (the first in x, then in
+#: y, of equals), then on both of its sides, a row of `part` for each stretch.
+_BLOCKS = {
+    "texts": None,
+    "work": "SELECT row_number() OVER (ORDER BY x, y) AS k, x, y FROM (SELECT DISTINCT x, y FROM texts) WHERE x <> y AND x <> '' AND y <> ''",
+    "xs": "SELECT k, unnest(range(1, length(x) + 1)) AS i, x FROM work",
+    "ys": "SELECT k, unnest(range(1, length(y) + 1)) AS j, y FROM work",
+    "hits": "SELECT a.k, i, j FROM xs a JOIN ys b ON a.k = b.k AND substring(x, i, 1) = substring(y, j, 1)",
+    "part": """SELECT k, 1::BIGINT AS alo, length(x) + 1 AS ahi, 1::BIGINT AS blo, length(y) + 1 AS bhi, 0::BIGINT AS m FROM work
+        UNION ALL SELECT k, unnest([alo, i0 + n]), unnest([i0, ahi]), unnest([blo, j0 + n]), unnest([j0, bhi]), unnest([n, 0]) FROM (
+            SELECT *, row_number() OVER (PARTITION BY k, alo, blo ORDER BY n DESC, i0, j0) AS nth FROM (
+                SELECT k, alo, ahi, blo, bhi, count(*) AS n, min(i) AS i0, min(j) AS j0 FROM (
+                    SELECT s.k, alo, ahi, blo, bhi, i, j, i - row_number() OVER (PARTITION BY s.k, alo, blo, i - j ORDER BY i) AS run
+                    FROM part s JOIN hits h ON h.k = s.k AND i >= alo AND i < ahi AND j >= blo AND j < bhi)
+                GROUP BY k, alo, ahi, blo, bhi, i - j, run))
+        WHERE nth = 1""",
+    "sim": "SELECT x, y, 2.0::DOUBLE * m / (length(x) + length(y)) AS ratio FROM (SELECT k, sum(m) AS m FROM part GROUP BY k) JOIN work USING (k)",
+}
+_MISS_SIM = _MISSED | {"miss0": _MISS} | _BLOCKS | {
+    "texts": "SELECT s1_name AS x, true_name AS y FROM miss0 UNION SELECT s1_address, true_address FROM miss0",
+    "miss": "SELECT m.*, CASE WHEN s1_name = true_name THEN 1.0::DOUBLE WHEN s1_name = '' OR true_name = '' THEN 0.0::DOUBLE ELSE s.ratio END AS name_ratio, CASE WHEN s1_address = true_address THEN 1.0::DOUBLE WHEN s1_address = '' OR true_address = '' THEN 0.0::DOUBLE ELSE t.ratio END AS address_ratio FROM miss0 m LEFT JOIN sim s ON s.x = s1_name AND s.y = true_name LEFT JOIN sim t ON t.x = s1_address AND t.y = true_address",
 }
 _PILOT_ANCH = {
     "rtok": _tokens("name", 4, country="raw"),
@@ -206,6 +228,30 @@ def _quantiles(sql: str) -> str:
     return " UNION ALL ".join(f"SELECT {p}::DOUBLE AS point, quantile_cont(n, {p})::DOUBLE AS value FROM ({sql})" for p in points)
 
 
+def _describe(c: str, of: str) -> str:
+    points = ", ".join(f"round(quantile_cont({c}, {p}), 6) AS p{round(100 * p):02d}" for p in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))
+    return f"SELECT '{c}' AS column, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max, {points} FROM {of}"
+
+
+def _values(rows, names: str) -> str:
+    text = lambda x: "''" if x is None else " || ".join(f"'{p}'" for p in str(x).replace("'", "''").split("\n")).replace("' || '", "' || chr(10) || '")
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({names})"
+
+
+#: fixtures.broken_lists, and what is wrong with them.
+_BROKEN = _SCORED_PRED | {
+    "lists": "SELECT s1_id AS own, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS ids, CAST(regexp_extract(s1_id, '-(\\d+)$', 1) AS BIGINT) AS n FROM spine LEFT JOIN pred USING (s1_id) GROUP BY s1_id",
+    "spoilt": "SELECT own, CASE WHEN n % 13 = 0 THEN ids || ',S2-none' WHEN n % 17 = 0 THEN ids || ',S2-1, S2-1' ELSE ids END AS ids, n FROM lists",
+    "broken": "SELECT own, list_filter(list_transform(string_split(ids, ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM (SELECT * FROM spoilt WHERE n % 7 <> 0 UNION ALL SELECT * FROM spoilt WHERE n % 11 = 0 UNION ALL SELECT own || '-x', ids, n FROM spoilt WHERE n % 19 = 0)",
+    "named": "SELECT own AS s1_id, unnest(ids) AS cand_id FROM broken",
+}
+_INVARIANTS = """SELECT 'row_per_s1' AS invariant, (SELECT count(*) FROM spine LEFT JOIN (SELECT own, count(*) AS n FROM broken GROUP BY own) ON own = s1_id WHERE coalesce(n, 0) <> 1) AS violations
+    UNION ALL SELECT 'unknown_s1', (SELECT count(*) FROM broken WHERE own NOT IN (SELECT s1_id FROM spine))
+    UNION ALL SELECT 'repeated_ids', (SELECT count(*) FROM broken WHERE len(ids) <> len(list_distinct(ids)))
+    UNION ALL SELECT 'unknown_ids', (SELECT count(*) FROM named WHERE cand_id NOT IN (SELECT entity_id FROM rec WHERE src <> 1))
+    UNION ALL SELECT 'not_candidates', (SELECT count(*) FROM named ANTI JOIN f2 USING (s1_id, cand_id))"""
+_ALL_EDGES = _UNION | {"rows": "SELECT s1_id, cand_id FROM v1_f2"}
+
 ORACLE = {
     "norm_basic": _with({}, "SELECT entity_id, basic FROM nrm"),
     "norm_ascii": _with({}, "SELECT entity_id, name, addr, country FROM nrm"),
@@ -255,8 +301,8 @@ ORACLE = {
     "labelled_pairs": _with(_V1, "SELECT s1_id, cand_id, score, (g.s1_id IS NOT NULL)::INT AS label FROM scored LEFT JOIN (SELECT DISTINCT * FROM gt) g USING (s1_id, cand_id)"),
     "predictions": _with(_SCORED_PRED, "SELECT s1_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS matched_entity_ids FROM spine LEFT JOIN pred USING (s1_id) GROUP BY s1_id"),
     "entity_scores": _with(_BASIC_PRED, "SELECT * FROM scores"),
-    "macro_f05": _with(_BASIC_PRED, "SELECT part, count(*) AS entities, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f0_5) AS macro_f0_5 FROM (SELECT unnest(['all', CASE WHEN is_singleton THEN 'singleton' ELSE 'matched' END]) AS part, * FROM scores) GROUP BY part"),
-    "error_buckets": _with(_BASIC_PRED, "SELECT category, count(*) AS entities, avg(f0_5) AS mean_f0_5 FROM buckets GROUP BY category"),
+    "macro_f05": _with(_BASIC_PRED, "SELECT part, count(*) AS entities, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f0_5), 6) AS macro_f0_5 FROM (SELECT unnest(['all', CASE WHEN is_singleton THEN 'singleton' ELSE 'matched' END]) AS part, * FROM scores) GROUP BY part"),
+    "error_buckets": _with(_BASIC_PRED, "SELECT category, count(*) AS entities, round(avg(f0_5), 6) AS mean_f0_5 FROM buckets GROUP BY category"),
     "bucket_by_country": _with(_BASIC_PRED, "SELECT category, " + ", ".join(f"count(*) FILTER (country = '{c}') AS {c}" for c in ("de", "en", "es", "fr")) + " FROM buckets JOIN rec ON entity_id = s1_id GROUP BY category"),
     "blocking_recall": _with(_V1_PRED, "SELECT *, s1_with_candidates / total_s1 AS coverage, candidate_pairs / total_s1 AS per_s1, recovered / true_pairs AS recall FROM (SELECT count(*) AS total_s1, sum((n_pred > 0)::BIGINT)::BIGINT AS s1_with_candidates, sum(n_pred)::BIGINT AS candidate_pairs, sum(n_true)::BIGINT AS true_pairs, sum(tp)::BIGINT AS recovered FROM counts)"),
     "recall_union": _with(_V1 | {"hit": "SELECT g.s1_id, e.s1_id AS f, x.s1_id AS s FROM (SELECT DISTINCT * FROM gt) g LEFT JOIN edges e USING (s1_id, cand_id) LEFT JOIN f2 x USING (s1_id, cand_id)"}, "SELECT *, first_hits + second_only AS union_hits, (first_hits + second_only) / true_pairs AS union_recall, 100.0::DOUBLE * second_only / true_pairs AS gain_points FROM (SELECT count(*) AS true_pairs, count(f) AS first_hits, count(s) AS second_hits, count(*) FILTER (f IS NULL AND s IS NOT NULL) AS second_only FROM hit)"),
@@ -266,18 +312,36 @@ ORACLE = {
     "threshold_best": _with(_V1, f"{_SWEEP} ORDER BY macro_f0_5 DESC, threshold LIMIT 1"),
     "split": _with({}, "SELECT s1_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || s1_id), s1_id) <= floor(count(*) OVER () * CAST(0.15 AS DOUBLE)) THEN 'validation' ELSE 'train' END AS part FROM spine"),
     "sample_negatives": _with(_V1 | {"lab": "SELECT s1_id, cand_id, (g.s1_id IS NOT NULL)::INT AS label FROM edges LEFT JOIN (SELECT DISTINCT * FROM gt) g USING (s1_id, cand_id)"}, "SELECT * FROM lab WHERE label = 1 UNION ALL SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || s1_id || ':' || cand_id), s1_id, cand_id) AS rn FROM lab WHERE label = 0) WHERE rn <= (SELECT greatest(1, 3 * sum(label)) FROM lab)"),
-    "invariants": _with(_SCORED_PRED, "SELECT unnest(['row_per_s1', 'unknown_s1', 'repeated_ids', 'unknown_ids', 'not_candidates']) AS invariant, 0::BIGINT AS violations"),
-    "overmatch_report": _with(_V1_PRED, "SELECT p.s1_id, p.cand_id, score, CASE WHEN g.s1_id IS NULL THEN 'FALSE_MATCH' ELSE 'TRUE_MATCH' END AS match_type FROM pred p JOIN counts c USING (s1_id) LEFT JOIN (SELECT DISTINCT * FROM gt) g USING (s1_id, cand_id) LEFT JOIN scored USING (s1_id, cand_id) WHERE n_true > 0 AND c.n_pred > n_true AND tp > 0"),
-    "missed_pairs": _with(_layered(1, "ntok", "token") | _MISSED | {"edges": "SELECT s1_id, cand_id FROM f2"}, "SELECT s1_id, cand_id FROM missed"),
-    "miss_features": _with(_MISS_LCS | {"edges": "SELECT s1_id, cand_id FROM f2"}, "SELECT * EXCLUDE (an, bn, aa, ba) FROM miss", True),
-    "miss_profile": _with(_MISS_LCS | {"edges": "SELECT s1_id, cand_id FROM f2"}, " UNION ALL ".join(f"SELECT '{name}' AS predicate, count(*) FILTER ({p}) AS pairs, coalesce(count(*) FILTER ({p}) / nullif(count(*), 0), 0)::DOUBLE AS share FROM miss" for name, p in MISS_PREDICATES.items()), True),
-    "describe_scores": _with(_V1, "SELECT 'score' AS column, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min, max(score) AS max, " + ", ".join(f"quantile_cont(score, {p}) AS p{round(100 * p):02d}" for p in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + " FROM scored"),
+    "invariants": _with(_BROKEN, _INVARIANTS),
+    "overmatch_report": _with(_V1_PRED, f"SELECT p.s1_id, p.cand_id, score, {_eq('name')} AS name_exact, {_jaccard('a.nt', 'b.nt')} AS name_jaccard, {_eq('country')} AS country_equal, CASE WHEN g.s1_id IS NULL THEN 'FALSE_MATCH' ELSE 'TRUE_MATCH' END AS match_type FROM pred p JOIN counts c USING (s1_id) LEFT JOIN (SELECT DISTINCT * FROM gt) g USING (s1_id, cand_id) LEFT JOIN scored USING (s1_id, cand_id) JOIN canonn a ON a.entity_id = p.s1_id JOIN canonn b ON b.entity_id = p.cand_id WHERE n_true > 0 AND c.n_pred > n_true AND tp > 0"),
+    "missed_pairs": _with(_MISSED, "SELECT s1_id, cand_id FROM missed"),
+    "miss_features": _with(_MISS_SIM, "SELECT * FROM miss", True),
+    "miss_profile": _with(_MISS_SIM, " UNION ALL ".join(f"SELECT '{name}' AS predicate, count(*) FILTER ({p}) AS pairs, coalesce(count(*) FILTER ({p}) / nullif(count(*), 0), 0)::DOUBLE AS share FROM miss" for name, p in MISS_PREDICATES.items()), True),
+    "miss_describe": _with(_MISS_SIM, " UNION ALL ".join(_describe(c, "miss") for c in ("name_ratio", "name_jaccard", "name_overlap", "address_ratio", "address_jaccard", "address_overlap")), True),
+    "describe_scores": _with(_V1, _describe("score", "scored")),
     "column_profile": _with({}, " UNION ALL ".join(f"SELECT src, '{c}' AS column, count(*) AS rows, count(*) FILTER (n = 0) AS blanks, min(n) AS min_len, max(n) AS max_len, avg(n) AS mean_len FROM (SELECT src, length(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) AS n FROM rec) GROUP BY src" for c in ("business_name", "business_address", "country"))),
     "value_histogram": _with({}, "SELECT country, count(*) AS n FROM rec GROUP BY country"),
     "match_histogram": _with(_BASIC_PRED, "SELECT n_true, count(*) AS entities, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM spine) AS percent FROM counts GROUP BY n_true"),
     "singleton_rate": _with(_BASIC_PRED, "SELECT avg((n_true = 0)::INT::DOUBLE) AS singleton_rate FROM counts"),
     "lookup_upsert": _with({}, "SELECT key, entity_id FROM (SELECT truth_key AS key, entity_id, row_number() OVER (PARTITION BY truth_key ORDER BY src DESC, entity_id DESC) AS rn FROM rec) WHERE rn = 1"),
-    "missing_records": _with(_V1, "SELECT 0::BIGINT AS missing_pairs"),
+    "missing_records": _with(_V1, "SELECT count(*) AS missing_pairs FROM edges WHERE CAST(regexp_extract(s1_id, '-(\\d+)$', 1) AS BIGINT) % 5 = 0 OR CAST(regexp_extract(cand_id, '-(\\d+)$', 1) AS BIGINT) % 5 = 0"),
+    "report_all": _with(_SCORED_PRED, f"""SELECT 'blocking_recall' AS part, '' AS item, round((SELECT count(*) FROM (SELECT DISTINCT * FROM gt) JOIN edges USING (s1_id, cand_id)) / (SELECT count(*) FROM (SELECT DISTINCT * FROM gt)), 6)::DOUBLE AS value
+        UNION ALL SELECT 'scores', s1_id, round(f0_5, 6) FROM scores
+        UNION ALL SELECT 'macro', part, round(avg(f0_5), 6) FROM (SELECT unnest(['all', CASE WHEN is_singleton THEN 'singleton' ELSE 'matched' END]) AS part, f0_5 FROM scores) GROUP BY part
+        UNION ALL SELECT 'buckets', category, round(avg(f0_5), 6) FROM buckets GROUP BY category
+        UNION ALL SELECT 'sweep', format('{{:.2f}}', threshold), macro_f0_5 FROM ({_SWEEP})
+        UNION ALL (SELECT 'best', '', threshold FROM ({_SWEEP}) ORDER BY macro_f0_5 DESC, threshold LIMIT 1)"""),
+    "norm_by_hand": _values([(f"S1-{k}", *r[3:]) for k, r in enumerate(BY_HAND)], "entity_id, name, core, suffix, address, country"),
+    "tsv_round_trip": _with({}, f"SELECT entity_id, business_name, business_address, country, CAST(regexp_extract(entity_id, '^S(\\d+)-', 1) AS BIGINT) AS src FROM (SELECT entity_id, business_name, business_address, country FROM rec UNION ALL {_values(AWKWARD, 'entity_id, business_name, business_address, country')})"),
+    "tsv_tolerant": "SELECT * FROM (VALUES ('S1-1', 'S2-1', 0.5::DOUBLE), ('S1-3', 'S3-1', 1.0::DOUBLE)) AS v(source1_entity_id, candidate_entity_id, score)",
+    "tsv_scores": _with(_V1, "SELECT s1_id AS source1_entity_id, cand_id AS candidate_entity_id, score FROM scored"),
+    "parquet_round_trip": _with({}, f"SELECT s1_id, cand_id FROM f2 UNION ALL {EXACT}"),
+    "lists_round_trip": _with({}, "SELECT s1_id, coalesce(cand_id, '') AS cand_id FROM spine LEFT JOIN f2 USING (s1_id)"),
+    "catalog": "SELECT * FROM (VALUES ('columns', 'source1_entity_id,matched_entity_ids'), ('list', 'matched_entity_ids'), ('list of candidates', 'candidate_entity_ids'), ('no list', 'refused'), ('no spine', 'refused'), ('written table exists', 'true'), ('other path exists', 'false'), ('other table exists', 'false')) AS v(item, value)",
+    "error_report": _with(_BASIC_PRED, "SELECT * FROM buckets"),
+    "sweep_tsv": _with(_V1, _SWEEP),
+    "pilot_edges": _with(_V1, "SELECT s1_id, cand_id FROM edges WHERE s1_id IN (SELECT s1_id FROM spine ORDER BY s1_id LIMIT 100)"),
+    "gbt_expression": _with(_ALL_EDGES, "SELECT s1_id, cand_id, true AS same, true AS same_after_load, true AS probability FROM rows"),
     "pair_features": _with(
         _V1 | _LCS | {
             "texts": "SELECT a.name AS x, b.name AS y FROM edges JOIN canon a ON a.entity_id = s1_id JOIN canon b ON b.entity_id = cand_id UNION SELECT a.address, b.address FROM edges JOIN canon a ON a.entity_id = s1_id JOIN canon b ON b.entity_id = cand_id",

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from linkloom import schema
 from linkloom.functions import normalize as N
 from linkloom.functions import similarity as S
 from linkloom.operators import blocking, diagnose, evaluate, features, model, postings, split
 from linkloom.plans import fixtures
 from linkloom.plans.params import CAPS, F2, MAX_DF, PILOT, SCORE_AT, THRESHOLDS
-from linkloom.sources.sinks import latest
-from linkloom.sources.tables import edges as read_edges
+from linkloom.sources import sinks, tables
+from linkloom.sources.shared import kept, scratch
 
 V = {"max_df": MAX_DF, "posting_cap": CAPS["posting_cap"]}
 
@@ -22,7 +25,7 @@ class _Tables:
     """What queries share, made when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rec = fixtures.records(spark, sf_dir)
+        self.spark, self.rec = spark, fixtures.records(spark, sf_dir)
 
     @property
     def spine(self) -> DataFrame:
@@ -78,7 +81,8 @@ class _Tables:
         return evaluate.entity_scores(self.spine, self.truth, blocking.exact_basic_name(self.rec))
 
     def missed(self) -> DataFrame:
-        return diagnose.missed_pairs(self.truth, self.f2, self.ref)
+        """Pairs of V1 that address tokens miss. Of true pairs alone they miss none on the smaller tables."""
+        return diagnose.missed_pairs(self.v1, self.f2, self.ref)
 
 
 def _rarest(t: _Tables) -> DataFrame:
@@ -100,7 +104,7 @@ def _union(t: _Tables) -> DataFrame:
 
 
 def _id_lists(t: _Tables) -> DataFrame:
-    return read_edges(evaluate.wide(t.spine, _union(t), "candidate_entity_ids"))
+    return tables.edges(evaluate.wide(t.spine, _union(t), "candidate_entity_ids"))
 
 
 def _labelled(t: _Tables) -> DataFrame:
@@ -115,16 +119,136 @@ def _sweep(t: _Tables) -> DataFrame:
     return evaluate.sweep(t.spine, t.truth, t.scored(t.v1), THRESHOLDS)
 
 
+def _report_all(t: _Tables) -> DataFrame:
+    """All that the report has, as rows (part, item, value)."""
+    scored = t.scored(t.v1)
+    out = evaluate.report(t.spine, t.truth, t.v1, evaluate.predictions(scored, SCORE_AT), scored, THRESHOLDS)
+    item = {"blocking_recall": F.lit(""), "scores": F.col("s1_id"), "macro": F.col("part"), "buckets": F.col("category"), "sweep": F.format_number("threshold", 2), "best": F.lit("")}
+    value = {"blocking_recall": "recall", "scores": "f0_5", "macro": "macro_f0_5", "buckets": "mean_f0_5", "sweep": "macro_f0_5", "best": "threshold"}
+    rows = [df.select(F.lit(name).alias("part"), item[name].alias("item"), F.round(value[name], 6).alias("value")) for name, df in out.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
 def _miss_features(t: _Tables) -> DataFrame:
-    return diagnose.miss_features(t.missed(), t.nrm, S.ratio)
+    return diagnose.miss_features(t.missed(), t.nrm)
 
 
-def _gbt(t: _Tables) -> DataFrame:
-    """Trained on the pairs of one part of the S1 entities, applied to all."""
-    pairs = features.labelled(features.pair_features(_union(t), features.canonical_records(t.rec)), t.truth).persist()
+def _pairs_of(t: _Tables) -> DataFrame:
+    return kept(features.labelled(features.pair_features(_union(t), features.canonical_records(t.rec)), t.truth))
+
+
+def _fitted(t: _Tables, pairs: DataFrame):
+    """A model of the pairs of one part of the S1 entities."""
     parts = split.split(t.spine, 0.5)
-    fitted = model.fit(split.sample_negatives(pairs.join(parts.where("part = 'train'").select("s1_id"), "s1_id", "left_semi")), trees=10, least=2)
-    return model.score(fitted, pairs)
+    return model.fit(split.sample_negatives(pairs.join(parts.where("part = 'train'").select("s1_id"), "s1_id", "left_semi")), trees=10, least=2)
+
+
+def _gbt(t: _Tables) -> DataFrame:
+    pairs = _pairs_of(t)
+    return model.score(_fitted(t, pairs), pairs)
+
+
+def _gbt_expression(t: _Tables) -> DataFrame:
+    """Whether each pair's score is what the trees, written out in SQL, make of its features, before and after storing."""
+    pairs = _pairs_of(t)
+    fitted = _fitted(t, pairs)
+    path = scratch(t.spark, "model")
+    model.save(fitted, path)
+    again = model.score(model.load(path), pairs).select("s1_id", "cand_id", F.col("score").alias("loaded"))
+    own = pairs.select("s1_id", "cand_id", F.expr(model.expression(fitted)).alias("by_sql"))
+    rows = model.score(fitted, pairs).join(own, ["s1_id", "cand_id"]).join(again, ["s1_id", "cand_id"])
+    return rows.select("s1_id", "cand_id", (F.abs(F.col("score") - F.col("by_sql")) < 1e-9).alias("same"), (F.col("score") == F.col("loaded")).alias("same_after_load"), F.col("score").between(0, 1).alias("probability"))
+
+
+def _tsv(t: _Tables) -> DataFrame:
+    """Records and awkward texts, written in several files (one of them put together), read as sources."""
+    some = t.rec.select("entity_id", "business_name", "business_address", "country")
+    awkward = t.spark.createDataFrame(list(fixtures.AWKWARD), some.schema.simpleString()[7:-1].replace(":", " "))
+    one, many = scratch(t.spark, "tsv"), scratch(t.spark, "tsv")
+    sinks.write_tsv(awkward, one, files=1)
+    sinks.write_tsv(some.repartition(3, "entity_id"), many)
+    return tables.read_source(t.spark, [one, many])
+
+
+def _tsv_tolerant(t: _Tables) -> DataFrame:
+    """Scores of which some rows don't parse."""
+    path = scratch(t.spark, "scores")
+    lines = ["source1_entity_id\tcandidate_entity_id\tscore", "S1-1\tS2-1\t0.5", "S1-2\tS2-2\tno number", "S1-3\tS3-1\t1.0", "S1-4"]
+    t.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return tables.read_tsv(t.spark, path, schema.SCORES, tolerant=True)
+
+
+def _tsv_scores(t: _Tables) -> DataFrame:
+    """Scores, written and read with declared columns; a row that doesn't parse would raise."""
+    path = scratch(t.spark, "scores")
+    rows = t.scored(t.v1)
+    sinks.write_tsv(rows.select(F.col("s1_id").alias("source1_entity_id"), F.col("cand_id").alias("candidate_entity_id"), "score"), path)
+    return tables.read_tsv(t.spark, path, schema.SCORES)
+
+
+def _parquet(t: _Tables) -> DataFrame:
+    """Edges and scores saved apart, read together, two columns of three."""
+    one, two = scratch(t.spark, "edges"), scratch(t.spark, "edges")
+    sinks.write_parquet(t.f2.withColumn("score", F.lit(0.5)), one)
+    sinks.write_parquet(t.scored(blocking.exact_name(t.rec)), two)
+    return tables.read_parquet(t.spark, one, two, columns=["s1_id", "cand_id"])
+
+
+def _lists(t: _Tables) -> DataFrame:
+    """Candidate lists written in order of S1, read back as edges and spine."""
+    path = scratch(t.spark, "lists")
+    sinks.write_lists(t.spine, t.f2, path)
+    back = tables.read_tsv(t.spark, path, schema.CANDIDATES)
+    rows = tables.edges(back)
+    return tables.spine(back).join(rows, "s1_id", "left").select("s1_id", F.coalesce("cand_id", F.lit("")).alias("cand_id"))
+
+
+def _catalog(t: _Tables) -> DataFrame:
+    """Columns that are there, the list column of each kind of table, and which tables exist."""
+    path = scratch(t.spark, "catalog")
+    wide = evaluate.wide(t.spine, t.f2)
+    sinks.write_parquet(wide, path)
+    back = tables.read_parquet(t.spark, path)
+    found = [("columns", ",".join(back.columns)), ("list", tables.match_column(back)), ("list of candidates", tables.match_column(wide.withColumnRenamed("matched_entity_ids", "candidate_entity_ids")))]
+    try:
+        tables.match_column(t.spine)
+    except ValueError:
+        found.append(("no list", "refused"))
+    try:
+        tables.edges(back.drop("source1_entity_id"))
+    except ValueError:
+        found.append(("no spine", "refused"))
+    found += [("written table exists", str(tables.exists(t.spark, path)).lower()), ("other path exists", str(tables.exists(t.spark, path + "-no")).lower()), ("other table exists", str(tables.exists(t.spark, "no_such_table")).lower())]
+    return t.spark.createDataFrame(found, "item string, value string")
+
+
+def _error_report(t: _Tables) -> DataFrame:
+    """The sorted report, written and read back."""
+    path = scratch(t.spark, "errors")
+    sinks.write_errors(evaluate.bucketed(t.baseline_scores()), path)
+    kind = "s1_id string, is_singleton boolean, n_true long, n_pred long, precision double, recall double, f0_5 double, category string"
+    return tables.read_tsv(t.spark, path, T._parse_datatype_string(kind))
+
+
+def _sweep_tsv(t: _Tables) -> DataFrame:
+    path = scratch(t.spark, "sweep")
+    sinks.write_tsv(_sweep(t), path, files=1)
+    return tables.read_tsv(t.spark, path, T._parse_datatype_string("threshold double, macro_f0_5 double, macro_precision double, macro_recall double"))
+
+
+def _broken(t: _Tables) -> DataFrame:
+    lists = fixtures.broken_lists(evaluate.wide(t.spine, _predicted(t)))
+    return evaluate.invariants(t.spine, t.f2, lists, t.ref)
+
+
+def _overmatch(t: _Tables) -> DataFrame:
+    pairs = features.pair_features(t.v1, features.canonical_records(t.rec)).select("s1_id", "cand_id", "name_exact", "name_jaccard", "country_equal")
+    return diagnose.overmatch_report(t.counts(t.v1), t.v1, t.truth, t.scored(t.v1), pairs)
+
+
+def _by_hand(t: _Tables) -> DataFrame:
+    rows = fixtures.by_hand(t.spark)
+    return features.canonical_records(rows).select("entity_id", "name", "core", "suffix", "address", "country")
 
 
 _OF: dict[str, Callable[[_Tables], DataFrame]] = {
@@ -168,6 +292,18 @@ _OF: dict[str, Callable[[_Tables], DataFrame]] = {
     "s1_budget": lambda t: split.budget(t.spine, 25),
     "union_checked": lambda t: blocking.checked_union(t.spine, t.v1, t.f2),
     "report_sweep": lambda t: evaluate.report(t.spine, t.truth, scored=t.scored(t.v1), steps=THRESHOLDS)["best"],
+    "report_all": _report_all,
+    "norm_by_hand": _by_hand,
+    "tsv_round_trip": _tsv,
+    "tsv_tolerant": _tsv_tolerant,
+    "tsv_scores": _tsv_scores,
+    "parquet_round_trip": _parquet,
+    "lists_round_trip": _lists,
+    "catalog": _catalog,
+    "error_report": _error_report,
+    "sweep_tsv": _sweep_tsv,
+    "pilot_edges": lambda t: split.restricted(t.v1, split.budget(t.spine, 100)),
+    "gbt_expression": _gbt_expression,
     "candidates_added": lambda t: t.f2.join(t.v1, ["s1_id", "cand_id"], "left_anti"),
     "candidate_lists": lambda t: evaluate.wide(t.spine, _union(t), "candidate_entity_ids"),
     "id_lists": _id_lists,
@@ -187,8 +323,8 @@ _OF: dict[str, Callable[[_Tables], DataFrame]] = {
     "threshold_best": lambda t: evaluate.best(_sweep(t)),
     "split": lambda t: split.split(t.spine),
     "sample_negatives": lambda t: split.sample_negatives(features.labelled(t.v1, t.truth)),
-    "invariants": lambda t: evaluate.invariants(t.spine, t.v1, evaluate.wide(t.spine, _predicted(t)), t.ref),
-    "overmatch_report": lambda t: diagnose.overmatch_report(t.counts(t.v1), t.v1, t.truth, t.scored(t.v1)),
+    "invariants": _broken,
+    "overmatch_report": _overmatch,
     "missed_pairs": lambda t: t.missed(),
     "miss_features": _miss_features,
     "miss_profile": lambda t: diagnose.miss_profile(_miss_features(t)),
@@ -198,8 +334,8 @@ _OF: dict[str, Callable[[_Tables], DataFrame]] = {
     "value_histogram": lambda t: diagnose.value_histogram(t.rec, "country"),
     "match_histogram": lambda t: diagnose.match_histogram(t.counts(blocking.exact_basic_name(t.rec))),
     "singleton_rate": lambda t: diagnose.singleton_rate(t.counts(blocking.exact_basic_name(t.rec))),
-    "lookup_upsert": lambda t: latest(t.rec.select(F.col("truth_key").alias("key"), "entity_id", "src"), "key", ("src", "entity_id")).select("key", "entity_id"),
-    "missing_records": lambda t: features.missing_records(t.v1, t.rec),
+    "lookup_upsert": lambda t: sinks.latest(t.rec.select(F.col("truth_key").alias("key"), "entity_id", "src"), "key", ("src", "entity_id")).select("key", "entity_id"),
+    "missing_records": lambda t: features.missing_records(t.v1, t.rec.where(fixtures.doc_id("entity_id") % 5 != 0)),
     "pair_features": lambda t: features.pair_features(t.v1, features.canonical_records(t.rec)),
     "gbt_scores": _gbt,
 }

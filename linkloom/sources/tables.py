@@ -12,10 +12,11 @@ from linkloom.functions.normalize import id_list
 MATCH_COLUMNS = ("matched_entity_ids", "matched_ids", "candidate_entity_ids")
 
 
-def read_tsv(spark: SparkSession, path: str | list[str], kind: T.StructType = schema.SOURCE, tolerant: bool = False) -> DataFrame:
-    """All columns as declared; tolerant: rows that don't parse are left out, else they raise."""
-    reader = spark.read.schema(kind).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").option("quote", '"').option("enforceSchema", False)
-    df = reader.csv(path)
+def read_tsv(spark: SparkSession, path: str | list[str], kind: T.StructType = schema.SOURCE, tolerant: bool = False, line_breaks: bool = True) -> DataFrame:
+    """All columns as declared; quotes inside quoted texts are doubled. tolerant: rows that don't parse are left out, else
+    they raise. line_breaks: quoted texts may hold line breaks; without them, large files are read in many tasks."""
+    reader = spark.read.schema(kind).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").option("quote", '"').option("escape", '"').option("enforceSchema", False)
+    df = reader.option("multiLine", line_breaks).csv(path)
     return df.na.fill("", [f.name for f in kind if isinstance(f.dataType, T.StringType)])
 
 
@@ -29,6 +30,14 @@ def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is a table of this name, or a folder or file at this path that Spark can list."""
+    if "/" not in name:
+        return spark.catalog.tableExists(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def match_column(df: DataFrame) -> str:
     """The column that lists identifiers; raises if there is none."""
     for name in MATCH_COLUMNS:

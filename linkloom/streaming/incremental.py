@@ -1,7 +1,8 @@
-"""Candidates for S1 records that arrive in a stream, against postings that lie still.
+"""Candidates for S1 records that arrive in a stream, against a reference that lies still.
 
-The reference side is prepared once, as for the batch blockers; each micro-batch joins its own records with it. So a
-stream finds, in the end, the pairs that one batch over all of its records finds. Late and repeated records are joined
+Each micro-batch runs the blocker over its own records and the whole reference side, which the blocker prepares anew. So a
+stream finds, in the end, the pairs that one batch over all of its records finds, as long as what makes a token rare is
+the reference side alone. Late and repeated records are joined
 like any other; a watermark on the caller's side may drop repeats.
 """
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import blocking, diagnose, evaluate, features, model, split
+from linkloom.operators import blocking, diagnose, evaluate, features, model, postings, split
 from linkloom.plans import fixtures
 from linkloom.plans.params import CAPS, F2, MAX_DF
 from linkloom.sources import sinks, tables
@@ -92,8 +92,8 @@ def test_report_and_checked_union(spark):
     assert set(out) == {"blocking_recall", "scores", "macro", "buckets", "sweep", "best"}
     assert out["best"].first()["macro_f0_5"] == 1.0 and out["best"].first()["threshold"] == 0.1
     assert blocking.checked_union(spine, edges, edges).count() == 2
-    with pytest.raises(ValueError, match="unknown S1"):
-        blocking.checked_union(spine.where("s1_id = 'b'"), edges)
+    with pytest.raises(Exception, match="unknown S1 entity: a"):
+        blocking.checked_union(spine.where("s1_id = 'b'"), edges).collect()
     counts = evaluate.entity_counts(spine, edges.limit(1), edges)
     assert diagnose.overmatch_report(counts, edges, edges.limit(1), scored, scored.withColumnRenamed("score", "x")).columns == ["s1_id", "cand_id", "score", "x", "match_type"]
 
@@ -178,3 +178,78 @@ def test_stream_equals_batch(spark, rec, tmp_path):
     found = set()
     stream_candidates(arrivals, ref, blocking.exact_name, lambda edges, n: found.update(pairs(edges)), str(tmp_path / "cp")).awaitTermination()
     assert found == pairs(blocking.exact_name(rec))
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_large_caps_cut_salts_first(spark, monkeypatch, salts):
+    """A skewed token, a cap beyond what Spark prunes: the first rows, by way of several tasks."""
+    monkeypatch.setattr(postings, "PRUNED", 10)
+    monkeypatch.setattr(postings, "SALTS", salts)
+    rows = spark.range(3000).select(F.concat(F.lit("S2-"), F.col("id") % 1500).alias("entity_id"), (F.col("id") % 2 + 2).alias("src"), F.lit("us").alias("country"), F.when(F.col("id") % 50 == 0, "rare").otherwise("street").alias("token"))
+    want = sorted((r.src, r.entity_id) for r in rows.where("token = 'street'").collect())[:100]
+    out = postings.capped(rows, 100)
+    assert sorted((r.src, r.entity_id) for r in out.where("token = 'street'").collect()) == want
+    assert out.where("token = 'rare'").count() == 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RowNumber") >= 2 or plan.count("Window [") == 2
+
+
+def test_default_caps_are_salted(rec):
+    plan = postings.capped(postings.exploded(postings.prepared(rec), F.split("addr", " ")), postings.BlockConfig.posting_cap)._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and plan.count("Window [") == 2
+
+
+def test_sweep_equals_scores_at_each_threshold(spark):
+    import random
+
+    rnd = random.Random(3)
+    spine = spark.createDataFrame([(f"s{k}",) for k in range(40)], "s1_id string")
+    truth = spark.createDataFrame([(f"s{rnd.randrange(45)}", f"c{rnd.randrange(5)}") for _ in range(60)], "s1_id string, cand_id string")
+    pairs_ = {(f"s{rnd.randrange(45)}", f"c{rnd.randrange(5)}"): rnd.choice([0.05, 0.1, 0.3, 0.5, 0.77, 1.0]) for _ in range(120)}
+    scored = spark.createDataFrame([(*k, v) for k, v in pairs_.items()], "s1_id string, cand_id string, score double")
+    steps = [0.1, 0.3, 0.4, 0.9, 1.01]
+    swept = evaluate.sweep(spine, truth, scored, steps)
+    got = {r.threshold: (r.macro_f0_5, r.macro_precision, r.macro_recall) for r in swept.collect()}
+    for t in steps:
+        m = evaluate.macro(evaluate.entity_scores(spine, truth, evaluate.predictions(scored, t))).where("part = 'all'").first()
+        assert got[t] == pytest.approx((m.macro_f0_5, m.macro_precision, m.macro_recall), abs=1e-6)
+    assert "Generate" not in swept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_describe_by_hand(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(float(x) ** 2 % 13, None if x % 5 == 0 else float(x), 7.0) for x in range(101)], "a double, b double, c double")
+    out = {r.column: r for r in diagnose.describe(rows, ["a", "b", "c"]).collect()}
+    for k, c in enumerate("abc"):
+        v = np.array([r[k] for r in rows.collect() if r[k] is not None])
+        r = out[c]
+        assert (r.n, r.min, r.max) == (len(v), v.min(), v.max())
+        assert (r["mean"], r["std"]) == pytest.approx((v.mean(), v.std(ddof=1)), abs=1e-5)
+        assert [r[f"p{p:02d}"] for p in (1, 25, 50, 95)] == pytest.approx(np.percentile(v, [1, 25, 50, 95]).tolist(), abs=1e-5)
+
+
+def test_split_extremes(spark):
+    spine = spark.range(40).select(F.concat(F.lit("S1-"), "id").alias("s1_id"))
+    for fraction, n in ((0.0, 0), (0.01, 0), (0.5, 20), (1.0, 40)):
+        assert split.split(spine, fraction).where("part = 'validation'").count() == n
+
+
+def test_errors_are_written_worst_first(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("s"), "id").alias("s1_id"), ((F.col("id") * 7919 % 100) / 100).alias("f0_5")).repartition(7)
+    sinks.write_errors(rows, str(tmp_path / "e"))
+    lines = [line.split("\t") for f in sorted((tmp_path / "e").glob("part-*")) for line in f.read_text().splitlines()[1:]]
+    assert len(lines) == 200 and [float(x[1]) for x in lines] == sorted(float(x[1]) for x in lines)
+
+
+def test_pandas_reads_what_is_written(spark, tmp_path):
+    import pandas as pd
+
+    rows = list(fixtures.AWKWARD)
+    sinks.write_tsv(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"), str(tmp_path / "t"), files=1)
+    (file,) = (tmp_path / "t").glob("part-*")
+    back = pd.read_csv(file, sep="\t", dtype=str, keep_default_na=False)
+    assert sorted(map(tuple, back.to_numpy().tolist())) == sorted(rows)
+    back.to_csv(tmp_path / "p.tsv", sep="\t", index=False)
+    again = tables.read_source(spark, str(tmp_path / "p.tsv")).drop("src")
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
