@@ -1,14 +1,14 @@
 """Chat formatting with typed content parts.
 
-A turn's content is a list of parts (text, image, audio, document). A visitor flattens them, in order: text is escaped,
-every other part becomes a placeholder that names its kind and its number in the turn, with the reference and the count
+A turn's content is a list of parts (text, image, audio, document). A visitor flattens them, in order: text is escaped
+(a run of adjacent texts as one), every other part becomes a placeholder that names its kind and its number in the turn, with the reference and the count
 of tokens that it will expand to recorded beside it. The template marks turns; escaping puts a backslash into every
 control string inside a text, so that only the template's own marks are left and the text can be read back exactly.
 
 A turn is formatted where it lies, in parallel. A conversation's text is its turns' texts in order; it is read back by a
 stream over turns sorted by conversation, which holds a digest and never a conversation, however long.
 
-Cases: null text and null role are empty; a null conversation is one of its own, a null turn comes first; rows of equal
+Cases: null parts, null text and null role are empty; a null conversation is one of its own, a null turn comes first; rows of equal
 turn are ordered by role and text; repeated rows are turns of their own; extra columns are ignored; an empty table gives
 no conversation but those the caller adds.
 """
@@ -49,10 +49,14 @@ def unescape(text: str) -> str:
 
 
 class Flatten:
-    """Visits the parts of one turn."""
+    """Visits the parts of one turn. Adjacent texts are escaped as one, as control strings may be split over them."""
 
     def __init__(self, tokens: dict[str, int]):
-        self.tokens, self.out, self.attachments = tokens, [], []
+        self.tokens, self.out, self.texts, self.attachments = tokens, [], [], []
+
+    def flush(self) -> None:
+        self.out.append(escape("".join(self.texts)))
+        self.texts.clear()
 
     def visit(self, part: dict) -> None:
         kind = part.get("kind") or "text"
@@ -62,9 +66,10 @@ class Flatten:
         method(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def _attach(self, part: dict, kind: str) -> None:
+        self.flush()
         placeholder = f"<|{kind}:{len(self.attachments)}|>"
         self.out.append(placeholder)
         self.attachments.append({"placeholder": placeholder, "kind": kind, "ref": part.get("ref"), "tokens": self.tokens[kind] * max(1, part.get("units") or 1)})
@@ -84,6 +89,7 @@ def format_turn(role: str | None, parts: list[dict], tokens: dict[str, int] = TO
     visitor = Flatten(tokens)
     for part in parts:
         visitor.visit(part)
+    visitor.flush()
     body = "".join(visitor.out)
     head = TURN + escape(role or "") + TEXT
     return head + body + END, len(head), len(head) + (len(body) if (role or "") in learned else 0), visitor.attachments
@@ -126,17 +132,43 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted text; placeholders stay as they are."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _READ.finditer(formatted)]
+    reader = Reader()
+    turns = reader.read(formatted)
+    reader.close()
+    return turns
+
+
+class Reader:
+    """Reads a conversation's text back as it comes, whatever it is cut into; knows nothing of turns but their marks."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def read(self, more: str) -> list[tuple[str, str]]:
+        self.rest += more
+        found = list(_READ.finditer(self.rest))
+        at = 0
+        for m in found:
+            if m.start() != at:
+                raise ValueError("text between turns")
+            at = m.end()
+        self.rest = self.rest[at:]
+        return [(unescape(m[1]), unescape(m[2])) for m in found]
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("a turn that does not end")
 
 
 def _digest(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    begun, conv, turns, loss, n, loss_chars, chars = False, None, None, None, 0, 0, 0
+    begun, conv, reader, turns, loss, n, loss_chars, chars = False, None, None, None, None, 0, 0, 0
     done: list[tuple] = []
 
     def close():
+        reader.close()
         done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
     def batch_of(rows):
@@ -147,8 +179,8 @@ def _digest(batches: Iterator) -> Iterator:
             if not begun or key != conv:
                 if begun:
                     close()
-                begun, conv, turns, loss, n, loss_chars, chars = True, key, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for role, text in read_back(formatted):
+                begun, conv, reader, turns, loss, n, loss_chars, chars = True, key, Reader(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            for role, text in reader.read(formatted):
                 turns.update(f"{role}\n{text}\n".encode())
                 n += 1
             masked = unescape(formatted[start:end])
