@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import shutil
 import tempfile
@@ -40,12 +41,17 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == 0
 
 
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 16_000_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per SparkContext, and keep batches of texts small
-    unless the session says otherwise."""
+    """Make this package importable in the executors' Python, once per SparkContext, and bound the bytes of a batch of texts
+    where the session leaves Spark's default; no other setting is touched."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
     if sc in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -56,14 +62,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, a folder below the
+    warehouse, or in local mode a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="checkpoints-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -74,6 +82,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing will read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key is hot if it has more rows than this, and more than its share.
+HOT_LEAST = 500
+#: Rows of two columns of a table that is broadcast at most (some 16 MB).
+FEW = 500_000
+
+
+def hot_share(spark: SparkSession, total: int) -> int:
+    """Rows above which a key is hot: fewer than four keys for each partition can have more."""
+    return max(HOT_LEAST, math.ceil(total / (4.0 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, share: int) -> DataFrame:
+    """rows with the facts of their key: (key, n, ...), n the number of rows of each key, every key of rows among them.
+
+    Rows of hot keys stay where they are and meet their facts, which are few, in a broadcast; all others meet theirs in a
+    shuffle by key.
+    """
+    values = [c for c in facts.columns if c not in (key, "n")]
+    hot = facts.where(F.col("n") > share).select(F.col(key).alias("_key"), F.struct(*values).alias("_facts"))
+    tagged = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    cold = facts.where(F.col("n") <= share).select(F.col(key).alias("_key"), *values)
+    apart = tagged.where(F.col("_facts").isNull()).drop("_facts").join(cold, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return apart.unionByName(tagged.where(F.col("_facts").isNotNull()).select(*rows.columns, *[F.col("_facts").getField(v).alias(v) for v in values]))
+
+
+def some_of(rows: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
+    """The rows whose key ids (key, each once; checkpointed) has or, if anti, lacks. Broadcast if ids are known to be few, so that rows stay
+    where they are."""
+    ids = ids.select(F.col(key).alias("_key"))
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    return rows.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left_anti" if anti else "left_semi")
+
+
 def swept(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing needs any more, now and not when the driver happens to collect its garbage."""
     gc.collect()

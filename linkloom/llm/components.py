@@ -1,11 +1,18 @@
-"""Connected components of a graph, by alternating large and small stars."""
+"""Connected components of a graph, by alternating large and small stars.
+
+A node with very many neighbours, as the centre of a star is, is hot: the rows of its edges stay where they are, and what
+is known of it is broadcast.
+
+Cases: edges with a null end are left out, as are those from a node to itself; repeated edges count once; an empty table
+gives an empty result; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpointed
+from linkloom.llm.common import checkpointed, hot_share, join_hot
 
 
 def _facts(edges: DataFrame) -> tuple:
@@ -14,16 +21,30 @@ def _facts(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (node, root): every node that an edge names, with the least node of its component."""
+    spark = edges.sparkSession
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while (now := _facts(edges)) != before:
-        before = now
+        before, share = now, hot_share(spark, 2 * now[0])
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         # Each neighbour above a node goes to the least of the node's neighbours.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, "u", share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Each neighbour below a node, and the node, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "u", share).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
+
+
+def least_ids(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """rows (node, ...) with component_id, the least id of their node's component. nodes: (node, first, n), checkpointed: each
+    node's least id and number of rows; links (u, v) between nodes."""
+    spark = rows.sparkSession
+    found = components(links)
+    ends = nodes.join(found.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left")
+    ends = checkpointed(ends.select(node, "first", "n", F.coalesce("root", node).alias("root")))
+    roots = ends.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    total = ends.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = join_hot(ends.select(node, F.col("n").alias("size"), "root"), roots, "root", hot_share(spark, total[0]))
+    return join_hot(rows, own.select(node, F.col("size").alias("n"), "component_id"), node, hot_share(spark, total[1]))

@@ -8,9 +8,12 @@ This runs within buckets of a source, in parallel; what each bucket has left mee
 one document of the source is left, which is rounded to the nearer number. So a source's words differ from its target by
 half a document at most, and every document's expected words are its share.
 
-Cases: null text has size 0 and is taken 0 times its size; a null source is a source, last in the order; equal documents
+Rows that agree in identifier, source and size are interchangeable and are counted before they move, so that an identifier
+which a third of all rows share is some entries with a number and not one bucket.
+
+Cases: null text has size 0 and is taken 0 times its size; a null identifier is one like any other; a null source is a source, last in the order; equal documents
 round alike only by chance but always the same way again, as randomness is a digest of the seed and the documents'
-places; repeated rows are rows of their own; empty tables give an empty result; extra columns are ignored.
+keys; repeated rows are rows of their own, whose copies differ by one at most; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from linkloom.llm.common import checkpointed, n_words, ship
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
-#: Documents that a bucket should have, and buckets that meet in a node of the tree.
+#: Equal documents that are rounded as one, entries that a bucket should have, and buckets that meet in a node of the tree.
+CHUNK = 1_000
 BUCKET = 2_000
 FAN_IN = 64
 #: Sources whose targets are broadcast.
@@ -92,35 +96,44 @@ def _round_bucket(seed: int, level: int):
         import pyarrow as pa
 
         source, bucket = key[0].as_py(), key[1].as_py()
-        table = table.sort_by([("place", "ascending"), ("id", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("place", "ascending"), ("size", "ascending"), ("n", "ascending")])
         shares, left = pivot(table["size"].to_pylist(), table["share"].to_pylist(), _random(seed, level, source, bucket))
         return table.set_column(table.schema.get_field_index("share"), "share", pa.array(shares, pa.float64()))
 
     return run
 
 
-def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple = WEIGHTS, most: float = MOST, seed: int = 20) -> DataFrame:
-    """id, size, source_size, target, copies: how often the mix takes each document."""
+def entries(df: DataFrame, size: Column, key: tuple = ("doc_id",), source_col: str = "source", weights: tuple = WEIGHTS, most: float = MOST, seed: int = 20) -> DataFrame:
+    """(id, source, size, source_size, target, n, copies): how often the mix takes documents, n of them together.
+
+    id: a struct of the key columns. Documents of equal key, source and size are counted first, on the map side, and are
+    entries of up to CHUNK documents, each rounded as one.
+    """
     spark = df.sparkSession
     ship(spark)
-    sized = checkpointed(df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size")))
-    by_source = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights, most))
-    counts = sized.groupBy("source").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("buckets"))
-    facts = by_source.join(counts, by_source.source.eqNullSafe(counts.source)).select(by_source.source.alias("s"), "source_size", "target", "buckets")
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("id"), F.col(f"`{source_col}`").alias("source"), size.cast("long").alias("size"))
+    sized = checkpointed(named.groupBy("id", "source", "size").agg(F.count("*").alias("many")))
+    by_source = checkpointed(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("source_size")), weights, most))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / CHUNK))
+    work = sized.select("*", F.explode(chunks).alias("chunk")).select("*", F.least(F.lit(CHUNK), F.col("many") - F.col("chunk") * CHUNK).alias("n"))
+    counts = sized.groupBy("source").agg(F.ceil(F.sum(F.ceil(F.col("many") / CHUNK)) / F.lit(BUCKET)).cast("int").alias("buckets"))
+    facts = checkpointed(by_source.join(counts, by_source.source.eqNullSafe(counts.source)).select(by_source.source.alias("s"), "source_size", "target", "buckets"))
+    buckets = facts.agg(F.max("buckets")).first()[0] or 1
     # A row for each source: broadcast, which keeps a large source in many tasks, if their number is known to be small.
     if by_source.count() <= FEW_SOURCES:
         facts = F.broadcast(facts)
-    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("place", F.xxhash64("id", F.lit(seed)))
-    rows = rows.select("*", F.floor(factor).alias("whole"), F.pmod("place", "buckets").cast("int").alias("bucket"))
-    rows = rows.select("*", F.when(F.col("size") > 0, factor - F.col("whole")).otherwise(F.lit(0.0)).alias("share"))
-
-    work = rows.select("id", "source", "size", "source_size", "target", "whole", "place", "bucket", "share")
+    rows = work.join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("place", F.xxhash64("id", "size", "chunk", F.lit(seed)))
+    # What lies within 1e-9 of a whole number is that number.
+    rows = rows.withColumn("factor", F.when(F.abs(factor - F.round(factor)) < 1e-9, F.round(factor)).otherwise(factor))
+    rows = rows.select("*", F.floor("factor").alias("whole"), F.pmod("place", "buckets").cast("int").alias("bucket"))
+    rows = rows.select("*", F.when(F.col("size") > 0, F.col("factor") - F.col("whole")).otherwise(F.lit(0.0)).alias("share"))
+
+    work = rows.select("id", "source", "size", "source_size", "target", "n", "whole", "place", "bucket", "share")
     schema = work.schema
     settled, level, open_ = [], 0, F.col("share").between(1e-12, 1 - 1e-12)
     work = checkpointed(work.groupBy("source", "bucket").applyInArrow(_round_bucket(seed, level), schema))
-    buckets = facts.agg(F.max("buckets")).first()[0] or 1
     settled.append(work.where(~open_))
     work = work.where(open_)
     while buckets > 1:
@@ -129,12 +142,20 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
         work = checkpointed(work.groupBy("source", "bucket").applyInArrow(_round_bucket(seed, level), schema))
         settled.append(work.where(~open_))
         work = work.where(open_)
-    # One document of each source at most; the nearer way, so that its source is off by half of its size at most.
+    # One entry of each source at most; the nearer way, so that its source is off by half of a document's size at most.
     settled.append(work.withColumn("share", F.round("share")))
     done = settled[0]
     for x in settled[1:]:
         done = done.unionAll(x)
-    return done.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.round("share")).cast("long").alias("copies"))
+    return done.select("id", "source", "size", "source_size", "target", "n", (F.col("whole") + F.round("share")).cast("long").alias("copies"))
+
+
+def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple = WEIGHTS, most: float = MOST, seed: int = 20) -> DataFrame:
+    """id, source, size, source_size, target, copies: how often the mix takes each document."""
+    found = entries(df, size, (id_col,), source_col, weights, most, seed)
+    rows = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    copies = F.floor(F.col("copies") / F.col("n")) + (F.col("k") <= F.col("copies") % F.col("n")).cast("long")
+    return rows.select(F.col("id").getField(id_col).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def op1(df: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ bits of it. Under a value, distances are computed and only a spanning forest of
 many nodes share a value, the same search is made again within them over the rest of their bits. Components of the forest
 are those of all links.
 
+`near_groups` links fingerprints. `similar_groups` links texts by the similarity of their shingles: it searches wider, over
+more than one fingerprint, and computes the similarity of what meets exactly.
+
 Cases: null text and texts without a word have fingerprint 0 and are linked like any other; whole texts count; repeated
 rows share a fingerprint; a null identifier takes its component's least other identifier; extra columns are ignored.
 """
@@ -22,8 +25,9 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm import shingle_sets
 from linkloom.llm.common import checkpointed, ship
-from linkloom.llm.components import components
+from linkloom.llm.components import least_ids
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints that the plan of the search is made from.
@@ -228,21 +232,181 @@ def _keys(partitions: list[tuple[list[int], int]]):
     return run
 
 
+def _plan(nodes: DataFrame, column: str, n: int, radius: int) -> list[tuple[list[int], int]]:
+    sample = [r[0] % 2**64 for r in nodes.select(column).orderBy(F.xxhash64(column), column).limit(SAMPLE).collect()]
+    return plan_search(sample, n, radius)
+
+
 def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, fp) -> (id, fp, component_id): the least id that links reach."""
-    rows = checkpointed(rows)
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    n = nodes.count()
-    sample = [r["fp"] % 2**64 for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    partitions = plan_search(sample, n, radius)
+    rows = checkpointed(rows.select("id", "fp"))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    partitions = _plan(nodes, "fp", nodes.count(), radius)
     keys = nodes.select("fp").mapInArrow(_keys(partitions), "part int, key long, fp long")
     links = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_links(partitions, radius), "u long, v long")
-    found = components(links)
-    nodes = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "root").select(F.col("fp").alias("g"), "component_id")
-    return rows.join(groups, rows["fp"] == groups["g"]).drop("g")
+    return least_ids(rows, nodes.select("fp", "first", "n"), links, "fp").select("id", "fp", "component_id")
 
 
 def op8(df: DataFrame) -> DataFrame:
     return near_groups(fingerprints(df)).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates of a given similarity: the same search, wider and over more than one fingerprint, with exact links.
+
+#: Shingles of five words, and the least similarity of a link.
+SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
+#: Fingerprints of a text, and the bits that one of them may differ in. A pair of similarity 0.8 differs in 9.7 bits of 64 on
+#: average (an angle of arccos(0.889)), so that one fingerprint brings some 3 of 4 such pairs together and two some 93 %.
+SIMILAR_PRINTS, SIMILAR_RADIUS = 2, 10
+#: Nodes of a bucket that are compared one by one.
+SMALL = 32
+
+
+def _prints(batches):
+    """(id, text) -> (id, node, fp0, fp1, ...): the node is the text's set of shingles."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        nodes, found = [], []
+        for text in batch.column(1):
+            grams = shingle_sets.shingles((text.as_py() or "").encode(), SIMILAR_SHINGLE)
+            nodes.append(shingle_sets.node_of(grams))
+            found.append(_set_prints(grams))
+        found = np.array(found, np.uint64).reshape(-1, SIMILAR_PRINTS).view(np.int64)
+        columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64))] + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(SIMILAR_PRINTS)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "node", *[f"fp{k}" for k in range(SIMILAR_PRINTS)]])
+
+
+def _set_prints(grams) -> list[int]:
+    """The fingerprints of a set of shingles, each from another mix of their hashes."""
+    import numpy as np
+
+    counts = np.zeros((SIMILAR_PRINTS, BITS), np.int64)
+    for at in range(0, len(grams), _SHINGLES_AT_ONCE):
+        some = grams[at : at + _SHINGLES_AT_ONCE]
+        for k in range(SIMILAR_PRINTS):
+            counts[k] += np.unpackbits(np.ascontiguousarray(some).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            some = some ^ (some >> np.uint64(31))
+            some = some * np.uint64(0x9E3779B97F4A7C15)
+            some = some ^ (some >> np.uint64(29))
+    return [int(np.packbits(2 * c > len(grams), bitorder="little").view(np.uint64)[0]) for c in counts]
+
+
+def _wide_keys(plans: list[list[tuple[list[int], int]]]):
+    """Over (node, fp0, ...): rows (part, key, fp, node) for each fingerprint's partitions; parts are numbered through."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            part = 0
+            for k, plan in enumerate(plans):
+                column = batch.column(k + 1)
+                fp = column.to_numpy().view(np.uint64)
+                for bits, t in plan:
+                    value = fp & np.uint64(_mask(bits))
+                    for d in range(t + 1):
+                        for flips in combinations(bits, d):
+                            key = (value ^ np.uint64(_mask(list(flips)))).view(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part, np.int32)), pa.array(key), column, batch.column(0)], ["part", "key", "fp", "node"])
+                    part += 1
+
+    return run
+
+
+def _trees(fps, radius: int, bits: list[int]) -> list:
+    """Arrays of the distinct fingerprints that links within the radius connect."""
+    import numpy as np
+
+    root: dict[int, int] = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b in _forest(fps, radius, bits):
+        root[find(int(a))] = find(int(b))
+    out: dict[int, list[int]] = {}
+    for a in list(root):
+        out.setdefault(find(a), []).append(a)
+    return [np.array(sorted(x), np.uint64) for x in out.values()]
+
+
+def _met(plans: list[list[tuple[list[int], int]]], radius: int):
+    """Over (part, key, fp, node) sorted by part and key: pairs (u, v) of nodes whose fingerprints are within the radius; of
+    more than SMALL that hang together, each with the least."""
+    parts = [p for plan in plans for p in plan]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def close(name, held):
+            fp, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            fp = fp.view(np.uint64)
+            order = np.argsort(fp, kind="stable")
+            fp, node = fp[order], node[order]
+            bits, t = parts[name[0]]
+            free = [b for b in range(BITS) if b not in bits] if t == 0 else list(range(BITS))
+            distinct, first, many = np.unique(fp, return_index=True, return_counts=True)
+            groups = [np.array([f], np.uint64) for f in distinct[many > 1]]
+            trees = _trees(distinct, radius, free) if len(distinct) > 1 else []
+            joined = set(np.concatenate(trees).tolist()) if trees else set()
+            for tree in trees + [g for g in groups if int(g[0]) not in joined]:
+                at = np.searchsorted(distinct, tree)
+                own = np.concatenate([np.arange(first[k], first[k] + many[k]) for k in at])
+                nodes, where = np.unique(node[own], return_index=True)
+                if len(nodes) < 2:
+                    continue
+                if len(nodes) > SMALL:
+                    yield nodes[1:], np.full(len(nodes) - 1, nodes[0]), True
+                    continue
+                f = fp[own][where]
+                a, b = np.triu_indices(len(nodes), 1)
+                near = np.bitwise_count(f[a] ^ f[b]) <= radius
+                yield nodes[b[near]], nodes[a[near]], False
+
+        def batch_of(found):
+            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            large = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(large)], ["u", "v", "large"])
+
+        last, held = None, []
+        for batch in batches:
+            part, key, fp, node = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1
+            found: list = []
+            for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))):
+                if a == b:
+                    continue
+                name = (int(part[a]), int(key[a]))
+                if name != last:
+                    if sum(len(h[0]) for h in held) > 1:
+                        found += close(last, held)
+                    last, held = name, []
+                held.append((fp[a:b], node[a:b]))
+            yield batch_of(found)
+        if sum(len(h[0]) for h in held) > 1:
+            yield batch_of(list(close(last, held)))
+
+    return run
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, component_id): the least id that links reach, where a link is a pair of texts whose sets of shingles have
+    a similarity of SIMILAR or more, if fingerprints bring it together. Texts of equal sets are one node."""
+    ship(df.sparkSession)
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prints = [f"fp{k}" for k in range(SIMILAR_PRINTS)]
+    rows = checkpointed(texts.mapInArrow(_prints, f"id long, node long, {', '.join(f'{p} long' for p in prints)}"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(p).alias(p) for p in prints]))
+    n = nodes.count()
+    plans = [_plan(nodes, p, n, SIMILAR_RADIUS) for p in prints]
+    keys = nodes.select("node", *prints).mapInArrow(_wide_keys(plans), "part int, key long, fp long, node long")
+    met = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_met(plans, SIMILAR_RADIUS), "u long, v long, large boolean")
+    links = shingle_sets.verified(texts, nodes, checkpointed(met.distinct()), SIMILAR_SHINGLE, SIMILAR)
+    return least_ids(rows.select("id", "node"), nodes.select("node", "first", "n"), links, "node")
