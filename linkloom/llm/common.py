@@ -100,12 +100,16 @@ def hot_share(spark: SparkSession, total: int) -> int:
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, share: int) -> DataFrame:
-    """rows with the facts of their key: (key, n, ...), n the number of rows of each key, every key of rows among them.
+    """rows with the facts of their key: (key, n, ...), n the number of rows of each key, every key of rows among them. Both
+    are checkpointed.
 
     Rows of hot keys stay where they are and meet their facts, which are few, in a broadcast; all others meet theirs in a
     shuffle by key.
     """
     values = [c for c in facts.columns if c not in (key, "n")]
+    if facts.where(F.col("n") > share).isEmpty():
+        every = facts.select(F.col(key).alias("_key"), *values)
+        return rows.join(every, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     hot = facts.where(F.col("n") > share).select(F.col(key).alias("_key"), F.struct(*values).alias("_facts"))
     tagged = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     cold = facts.where(F.col("n") <= share).select(F.col(key).alias("_key"), *values)

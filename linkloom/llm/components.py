@@ -27,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _facts(edges)) != before:
         before, share = now, hot_share(spark, 2 * now[0])
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        least = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
         # Each neighbour above a node goes to the least of the node's neighbours.
-        large = join_hot(both, least, "u", share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, "u", share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpointed(large.where("u <> v").distinct())
         # Each neighbour below a node, and the node, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join_hot(large, least, "u", share).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
@@ -44,7 +45,8 @@ def least_ids(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) ->
     found = components(links)
     ends = nodes.join(found.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left")
     ends = checkpointed(ends.select(node, "first", "n", F.coalesce("root", node).alias("root")))
-    roots = ends.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    roots = checkpointed(ends.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
     total = ends.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     own = join_hot(ends.select(node, F.col("n").alias("size"), "root"), roots, "root", hot_share(spark, total[0]))
-    return join_hot(rows, own.select(node, F.col("size").alias("n"), "component_id"), node, hot_share(spark, total[1]))
+    own = checkpointed(own.select(node, F.col("size").alias("n"), "component_id"))
+    return join_hot(rows, own, node, hot_share(spark, total[1]))

@@ -134,7 +134,7 @@ def verified(texts: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, l
     # The pairs of a node with those below it are a task, and so is each pair of blocks of a cluster.
     asked = pairs.select(F.xxhash64("u").alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))).alias("x"))
     clusters = checkpointed(components(met.where("large").select("u", "v")))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = checkpointed(clusters.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks")))
     placed = join_hot(clusters, sizes, "root", hot_share(spark, clusters.count())).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))

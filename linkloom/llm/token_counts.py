@@ -89,7 +89,7 @@ def token_counts(df: DataFrame, cache: str | None = None, id_col: str = "doc_id"
     texts.repartition("digest").sortWithinPartitions("digest").mapInArrow(_count_runs(model), "digest binary, n_tokens long").write.parquet(run)
     new = spark.read.schema("digest binary, n_tokens long").parquet(run)
     counts = new if known is None else known.unionByName(new)
-    facts = asked.join(counts, "digest")
+    facts = checkpointed(asked.join(counts, "digest"))
     return join_hot(rows, facts, "digest", hot_share(spark, rows.count())).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
