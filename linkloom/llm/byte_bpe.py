@@ -6,7 +6,7 @@ recursive query joins neighbouring tokens to the merge table and contracts, in e
 rank until no pair merges. An ordered aggregation over the surviving rows gives the ids.
 
 Decoding starts from ids alone: a document is the ids of its chunks, and each distinct run of ids is joined to the
-vocabulary and aggregated in order to the bytes it stands for. What a worker has encoded and decoded it remembers in two
+vocabulary and aggregated in order to the bytes it stands for. What a task has encoded and decoded it remembers in two
 generations: when the younger is full the older goes, and what was asked for since has moved to the younger by then.
 
 Cases: null and empty texts have no tokens; whole texts are encoded, very long ones in slices; repeated rows are encoded
@@ -35,8 +35,8 @@ PIECE_BLOCK = 250_000
 #: Pieces of more bytes are contracted at many places in a step, and in rounds of ROUND steps, fewer if they are very long.
 LONG = 64
 ROUND = 64
-#: Entries of a memory's younger generation (of pieces: twice as many), and characters of the longest key that is remembered.
-KNOWN = 250_000
+#: Entries of a memory's younger generation, and characters of the longest key that is remembered.
+KNOWN = 400_000
 KNOWN_LENGTH = 200
 
 _PAIRS = """
@@ -103,17 +103,21 @@ class Memory:
     def __init__(self, most: int):
         self.young, self.old, self.most, self.long = {}, {}, most, []
 
-    def missing(self, keys: set) -> list:
-        """The keys that are unknown; the others are in the younger generation from now on."""
+    def turn(self) -> None:
+        """Before a block: what is too long to be remembered goes, and if the younger generation is full, the older."""
         for k in self.long:
             self.young.pop(k, None)
+        self.long = []
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are unknown; the others are in the younger generation from now on."""
         rest = keys.difference(self.young)
         new = rest.difference(self.old)
         again = rest - new
         self.young.update(zip(again, map(self.old.__getitem__, again)))
-        self.long = [k for k in new if len(k) > KNOWN_LENGTH]
+        self.long += [k for k in new if len(k) > KNOWN_LENGTH]
         return list(new)
 
 
@@ -127,7 +131,8 @@ class Encoder:
 
         self.ranks, self.split = ranks, splitter(pattern)
         self.cuts = pattern == public_tokenizers.PATTERN
-        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(2 * KNOWN), Memory(KNOWN)
+        self.forget()
+        self.fresh: dict[str, list[str]] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges, unsafe = [], set()
         for token, rank in ranks.items():
@@ -147,6 +152,13 @@ class Encoder:
         for x in ("m_", "v_"):
             self.con.unregister(x)
 
+    def forget(self) -> None:
+        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(KNOWN), Memory(KNOWN)
+
+    def turn(self) -> None:
+        for memory in (self.runs_, self.pieces_, self.bytes_):
+            memory.turn()
+
     def _run(self, sql: str, **tables):
         for name, table in tables.items():
             self.con.register(name, table)
@@ -206,19 +218,31 @@ class Encoder:
         if new:
             pieces = list(map(self.split, new))
             ids = self.ids_of_pieces(set().union(*pieces))
-            self.runs_.young.update((c, " ".join(map(ids.__getitem__, p))) for c, p in zip(new, pieces))
+            for c, p in zip(new, pieces):
+                own = list(map(ids.__getitem__, p))
+                run = self.runs_.young[c] = " ".join(own)
+                if len(own) > 1:
+                    self.fresh[run] = own
         return self.runs_.young
 
     def bytes_of(self, runs: set) -> dict[str, bytes]:
-        """A dictionary with the bytes that these distinct runs of ids stand for, and others."""
+        """A dictionary with the bytes that these distinct runs of ids stand for, and others. Runs that have just been put
+        together are put together from the bytes of their parts."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        new = self.bytes_.missing(runs)
-        if new:
-            ids = pc.split_pattern(pa.array(new, pa.large_string()), " ")
-            self.bytes_.young.update(zip(new, self._decoded(pc.list_parent_indices(ids), pc.cast(pc.list_flatten(ids), pa.int32()), len(new))))
-        return self.bytes_.young
+        fresh, self.fresh = self.fresh, {}
+        new, young = self.bytes_.missing(runs), self.bytes_.young
+        joined = [r for r in new if r in fresh]
+        parts = set().union(*map(fresh.__getitem__, joined))
+        parts.update(r for r in new if r not in fresh)
+        todo = self.bytes_.missing(parts)
+        if todo:
+            ids = pc.split_pattern(pa.array(todo, pa.large_string()), " ")
+            young.update(zip(todo, self._decoded(pc.list_parent_indices(ids), pc.cast(pc.list_flatten(ids), pa.int32()), len(todo))))
+        for r in joined:
+            young[r] = b"".join(map(young.__getitem__, fresh[r]))
+        return young
 
     def _decoded(self, w, tok, n: int) -> list[bytes]:
         """For rows (w, tok), in order: the bytes of each w from 0 to n - 1."""
@@ -256,7 +280,7 @@ _own: dict = {}
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> Encoder:
-    """This process's encoder; a worker keeps it from task to task."""
+    """This process's encoder; a worker keeps it, without what it remembers, from task to task."""
     if _own.get("of") != (ranks, pattern):
         _own.update(of=(ranks, pattern), encoder=Encoder(ranks, pattern))
     return _own["encoder"]
@@ -334,6 +358,7 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
         doc = None
         for block in _blocks(batches, pattern == public_tokenizers.PATTERN):
             encoder = _encoder(ranks, pattern)
+            encoder.turn()
             cut = [encoder.chunks(text) for _, text, _ in block]
             distinct = set().union(*cut)
             ids_of = encoder.ids_of(distinct)
@@ -348,6 +373,8 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
                     doc = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if "encoder" in _own:
+            _own["encoder"].forget()
 
     return run
 
