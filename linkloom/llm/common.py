@@ -42,7 +42,7 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
 
 
 #: Bytes of a batch that goes to Python.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 
 
 def ship(spark: SparkSession) -> None:
