@@ -27,7 +27,7 @@ from itertools import accumulate
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from linkloom.llm.common import ship
+from linkloom.llm.common import ship, trimmed
 
 #: Texts are taken in blocks of about so many characters, longer ones in slices, and distinct pieces in blocks of so many bytes.
 TEXT_BLOCK = 4_000_000
@@ -355,7 +355,7 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
         import pyarrow as pa
 
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
-        doc = None
+        doc = block = cut = distinct = ids_of = runs = bytes_of = None
         for block in _blocks(batches, pattern == public_tokenizers.PATTERN):
             encoder = _encoder(ranks, pattern)
             encoder.turn()
@@ -375,6 +375,8 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if "encoder" in _own:
             _own["encoder"].forget()
+            del block, cut, distinct, ids_of, runs, bytes_of
+            trimmed()
 
     return run
 

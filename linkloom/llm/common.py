@@ -125,6 +125,20 @@ def some_of(rows: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> Da
     return rows.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left_anti" if anti else "left_semi")
 
 
+def trimmed() -> None:
+    """Give memory that a task has freed back to the system; a Python worker outlives its tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def swept(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing needs any more, now and not when the driver happens to collect its garbage."""
     gc.collect()

@@ -27,13 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _facts(edges)) != before:
         before, share = now, hot_share(spark, 2 * now[0])
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        # Stars are computed again where they are used, unless there are hot ones.
+        hot = not both.groupBy("u").count().where(F.col("count") > share).isEmpty()
+        once = checkpointed if hot else lambda df: df
+        least = once(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
         # Each neighbour above a node goes to the least of the node's neighbours.
-        large = join_hot(both, least, "u", share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.where("u <> v").distinct())
+        large = (join_hot(both, least, "u", share) if hot else both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = once(large.where("u <> v").distinct())
         # Each neighbour below a node, and the node, go to the least of them.
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_hot(large, least, "u", share).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = once(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = (join_hot(large, least, "u", share) if hot else large.join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
 
