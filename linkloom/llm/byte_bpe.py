@@ -131,7 +131,7 @@ class Encoder:
 
         self.ranks, self.split = ranks, splitter(pattern)
         self.cuts = pattern == public_tokenizers.PATTERN
-        self.forget()
+        self.forget(KNOWN)
         self.fresh: dict[str, list[str]] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges, unsafe = [], set()
@@ -152,8 +152,8 @@ class Encoder:
         for x in ("m_", "v_"):
             self.con.unregister(x)
 
-    def forget(self) -> None:
-        self.runs_, self.pieces_, self.bytes_ = Memory(KNOWN), Memory(KNOWN), Memory(KNOWN)
+    def forget(self, known: int) -> None:
+        self.runs_, self.pieces_, self.bytes_ = Memory(known), Memory(known), Memory(known)
 
     def turn(self) -> None:
         for memory in (self.runs_, self.pieces_, self.bytes_):
@@ -297,27 +297,27 @@ def splitter(pattern: str = public_tokenizers.PATTERN):
     return regex.compile(own).findall
 
 
-def _slices(text: str, cuts: bool) -> Iterator[str]:
-    """A text in slices of about TEXT_BLOCK characters, cut where chunks end; whole if pieces may reach across."""
+def _slices(text: str, cuts: bool, block: int) -> Iterator[str]:
+    """A text in slices of about `block` characters, cut where chunks end; whole if pieces may reach across."""
     at = 0
-    while cuts and len(text) - at > TEXT_BLOCK and (m := _CUTS.search(text, at + TEXT_BLOCK)):
+    while cuts and len(text) - at > block and (m := _CUTS.search(text, at + block)):
         yield text[at : m.start()]
         at = m.start()
     yield text[at:] if at else text
 
 
-def _blocks(batches, cuts: bool):
-    """Rows (id, slice of the text, whether it is the last) in lists of about TEXT_BLOCK characters."""
+def _blocks(batches, cuts: bool, most: int):
+    """Rows (id, slice of the text, whether it is the last) in lists of about `most` characters."""
     block, size = [], 0
     for batch in batches:
         for key, text in zip(*(c.to_pylist() for c in batch.columns)):
             before = None
-            for part in _slices(text or "", cuts):
+            for part in _slices(text or "", cuts, most):
                 if before is not None:
                     block.append((key, before, False))
                 before = part
                 size += len(part)
-                if size >= TEXT_BLOCK and block:
+                if size >= most and block:
                     yield block
                     block, size = [], len(part)
             block.append((key, before, True))
@@ -348,7 +348,7 @@ class _Document:
         return key, self.n, self.ids_hash.hexdigest(), self.bytes_hash.hexdigest(), *more
 
 
-def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
+def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int = TEXT_BLOCK, known: int = KNOWN):
     """A function for mapInArrow over (id, text)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -356,8 +356,11 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
 
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
         doc = block = cut = distinct = ids_of = runs = bytes_of = None
-        for block in _blocks(batches, pattern == public_tokenizers.PATTERN):
-            encoder = _encoder(ranks, pattern)
+        encoder = None
+        for block in _blocks(batches, pattern == public_tokenizers.PATTERN, most):
+            if encoder is None:
+                encoder = _encoder(ranks, pattern)
+                encoder.forget(known)
             encoder.turn()
             cut = [encoder.chunks(text) for _, text, _ in block]
             distinct = set().union(*cut)
@@ -373,19 +376,22 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool):
                     doc = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if "encoder" in _own:
-            _own["encoder"].forget()
+        if encoder:
+            encoder.forget(known)
             del block, cut, distinct, ids_of, runs, bytes_of
             trimmed()
 
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
-    """Every row's ids and the bytes they decode to: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True, block: int = TEXT_BLOCK, known: int = KNOWN) -> DataFrame:
+    """Every row's ids and the bytes they decode to: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
+
+    block, known: characters that are taken at once and entries that are remembered, which trade memory for speed.
+    """
     ship(df.sparkSession)
     schema = f"id long, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>, decoded binary' if with_ids else ''}"
-    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(encode_rows(load_ranks(ranks_path), pattern, with_ids), schema).withColumnRenamed("id", id_col)
+    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(encode_rows(load_ranks(ranks_path), pattern, with_ids, block, known), schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ def _mask(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
 
-def plan_search(sample, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def plan_search(sample, n: int, radius: int = RADIUS, row_cost: float = ROW_COST) -> list[tuple[list[int], int]]:
     """Partitions and their thresholds, those that are probed."""
     import numpy as np
 
@@ -118,7 +118,7 @@ def plan_search(sample, n: int, radius: int = RADIUS) -> list[tuple[list[int], i
             for t in range(total + parts):
                 probes = sum(comb(len(bits), d) for d in range(t + 1))
                 likely = max(probes / 2.0 ** len(bits), float((near <= t).mean()) if len(near) else 0.0)
-                row[t] = n * (1.0 + (probes if t else 0)) * ROW_COST + n * n / 2.0 * likely
+                row[t] = n * (1.0 + (probes if t else 0)) * row_cost + n * n / 2.0 * likely
             cost.append(row)
         # least[s]: the least cost of thresholds that sum to s, and those thresholds
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -232,9 +232,9 @@ def _keys(partitions: list[tuple[list[int], int]]):
     return run
 
 
-def _plan(nodes: DataFrame, column: str, n: int, radius: int) -> list[tuple[list[int], int]]:
+def _plan(nodes: DataFrame, column: str, n: int, radius: int, row_cost: float = ROW_COST) -> list[tuple[list[int], int]]:
     sample = [r[0] % 2**64 for r in nodes.select(column).orderBy(F.xxhash64(column), column).limit(SAMPLE).collect()]
-    return plan_search(sample, n, radius)
+    return plan_search(sample, n, radius, row_cost)
 
 
 def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -258,6 +258,8 @@ SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
 #: Fingerprints of a text, and the bits that one of them may differ in. A pair of similarity 0.8 differs in 9.7 bits of 64 on
 #: average (an angle of arccos(0.889)), so that one fingerprint brings some 3 of 4 such pairs together and two some 93 %.
 SIMILAR_PRINTS, SIMILAR_RADIUS = 2, 10
+#: A wide search moves a node very often; its rows are dearer, as they take memory and disk.
+SIMILAR_ROW_COST = 400.0
 #: Nodes of a bucket that are compared one by one.
 SMALL = 32
 
@@ -405,7 +407,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = checkpointed(texts.mapInArrow(_prints, f"id long, node long, {', '.join(f'{p} long' for p in prints)}"))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(p).alias(p) for p in prints]))
     n = nodes.count()
-    plans = [_plan(nodes, p, n, SIMILAR_RADIUS) for p in prints]
+    plans = [_plan(nodes, p, n, SIMILAR_RADIUS, SIMILAR_ROW_COST) for p in prints]
     keys = nodes.select("node", *prints).mapInArrow(_wide_keys(plans), "part int, key long, fp long, node long")
     met = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_met(plans, SIMILAR_RADIUS), "u long, v long, large boolean")
     links = shingle_sets.verified(texts, nodes, checkpointed(met.distinct()), SIMILAR_SHINGLE, SIMILAR)

@@ -158,14 +158,14 @@ def test_byte_bpe_tokens_are_rows_like_others(library):
 
 def test_byte_bpe_slices_and_generations(spark, odd_rows, none, library, monkeypatch):
     """Texts longer than a block, and a memory that forgets all the time."""
-    for name, value in (("TEXT_BLOCK", 100), ("KNOWN", 20), ("KNOWN_LENGTH", 9), ("PIECE_BLOCK", 300), ("ROUND", 5)):
+    for name, value in (("KNOWN_LENGTH", 9), ("PIECE_BLOCK", 300), ("ROUND", 5)):
         monkeypatch.setattr(byte_bpe, name, value)
     byte_bpe._own.clear()
     import pyarrow as pa
 
     rows = [(r[0], r[1]) for r in odd_rows] + [(300, "e" * 700 + " f" * 90), (301, " \n  x" * 40)]
     batches = pa.Table.from_pylist([{"id": k, "text": t} for k, t in rows], pa.schema([("id", pa.int64()), ("text", pa.string())])).to_batches(max_chunksize=7)
-    out = [tuple(r.values()) for b in byte_bpe.encode_rows(byte_bpe.load_ranks(), public_tokenizers.PATTERN, True)(iter(batches)) for r in b.to_pylist()]
+    out = [tuple(r.values()) for b in byte_bpe.encode_rows(byte_bpe.load_ranks(), public_tokenizers.PATTERN, True, 100, 20)(iter(batches)) for r in b.to_pylist()]
     byte_bpe._own.clear()
     want = [(k, ids := library.encode_ordinary(t or ""), t or "") for k, t in rows]
     assert out == [(k, len(ids), sha(" ".join(map(str, ids))), sha(t), ids, t.encode()) for k, ids, t in want]
