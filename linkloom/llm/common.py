@@ -76,10 +76,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; a lost executor costs a read and no recomputation."""
+#: Rows of a file, where a table is known to be small, and the least number of files.
+ROWS_A_FILE, LEAST_FILES = 100_000, 8
+
+
+def checkpointed(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder; a lost executor costs a read and no recomputation. most: a bound of
+    its rows, if one is known; narrow tables of few rows are then kept in few files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if most is None else df.coalesce(max(LEAST_FILES, most // ROWS_A_FILE))).checkpoint(eager=True)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Stars are computed again where they are used, unless there are hot ones.
         hot = not both.groupBy("u").count().where(F.col("count") > share).isEmpty()
-        once = checkpointed if hot else lambda df: df
+        once = (lambda df: checkpointed(df, 2 * now[0])) if hot else lambda df: df
         least = once(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
         # Each neighbour above a node goes to the least of the node's neighbours.
         large = (join_hot(both, least, "u", share) if hot else both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Each neighbour below a node, and the node, go to the least of them.
         least = once(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (join_hot(large, least, "u", share) if hot else large.join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
+        edges = checkpointed(small.where("u <> v").distinct(), 2 * now[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
 
 
@@ -45,11 +45,11 @@ def least_ids(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) ->
     """rows (node, ...) with component_id, the least id of their node's component. nodes: (node, first, n), checkpointed: each
     node's least id and number of rows; links (u, v) between nodes."""
     spark = rows.sparkSession
+    total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = components(links)
     ends = nodes.join(found.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left")
-    ends = checkpointed(ends.select(node, "first", "n", F.coalesce("root", node).alias("root")))
-    roots = checkpointed(ends.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
-    total = ends.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = checkpointed(ends.select(node, "first", "n", F.coalesce("root", node).alias("root")), total[0])
+    roots = checkpointed(ends.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), total[0])
     own = join_hot(ends.select(node, F.col("n").alias("size"), "root"), roots, "root", hot_share(spark, total[0]))
-    own = checkpointed(own.select(node, F.col("size").alias("n"), "component_id"))
+    own = checkpointed(own.select(node, F.col("size").alias("n"), "component_id"), total[0])
     return join_hot(rows, own, node, hot_share(spark, total[1]))

@@ -1,8 +1,7 @@
 """Sets of shingles, and the exact similarity of candidate pairs.
 
-The candidates of a small bucket are compared one by one. Nodes that large buckets connect are a cluster, dealt into blocks,
-and each pair of blocks is compared in a task. Only a spanning forest of the links leaves a task; components of the forests
-are those of all links. Sets are made again for the nodes that any bucket brings together, and no others move.
+Nodes that candidate links connect are a cluster, dealt into blocks, and each pair of blocks is compared in a task. Only a spanning forest of the links leaves a task; components of the forests
+are those of all links. Sets are made again for the nodes of clusters, and no others move.
 
 Cases: words and null, blank and short texts as in simhash (texts without a word are equal, a text of fewer words than a
 shingle is one shingle).
@@ -18,7 +17,7 @@ from linkloom.llm.components import components
 
 SEED = 42
 #: Nodes of a block of a cluster.
-BLOCK = 512
+BLOCK = 256
 
 
 def shingles(text: bytes, shingle: int):
@@ -122,25 +121,22 @@ def _links(least: tuple[int, int]):
     return run
 
 
-def verified(texts: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+def verified(texts: DataFrame, nodes: DataFrame, met: DataFrame, n: int, shingle: int, least: tuple[int, int]) -> DataFrame:
     """Links (u, v) of similarity `least` or more, as many as connect what all of them connect.
 
-    texts: (id, text). nodes: (node, first), the node and a text that has it. met: (u, v, large), candidate pairs, or edges
-    of clusters whose pairs are all candidates. All but texts are checkpointed.
+    texts: (id, text). nodes: (node, first), checkpointed, the n nodes and a text that has each. met: (u, v), links that
+    connect whatever may be similar; all pairs of nodes that they connect are compared.
     """
     spark = texts.sparkSession
+    clusters = components(met)
     swept(spark)
-    pairs = met.where("not large")
-    # The pairs of a node with those below it are a task, and so is each pair of blocks of a cluster.
-    asked = pairs.select(F.xxhash64("u").alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))).alias("x"))
-    clusters = checkpointed(components(met.where("large").select("u", "v")))
-    sizes = checkpointed(clusters.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    placed = join_hot(clusters, sizes, "root", hot_share(spark, clusters.count())).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    sizes = checkpointed(clusters.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks")), n)
+    placed = join_hot(clusters, sizes, "root", hot_share(spark, n)).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # A node is on the first side of some tasks, on the second of others and, where its block meets itself, on both.
     sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))
-    placed = placed.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.explode(sides).alias("side"), "node")
-    asked = checkpointed(asked.select("task", "x.side", "x.node").unionAll(placed).distinct())
-    wanted = checkpointed(nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("id")).distinct())
+    asked = checkpointed(placed.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.explode(sides).alias("side"), "node"))
+    wanted = checkpointed(nodes.join(clusters.select("node"), "node", "left_semi").select(F.col("first").alias("id")).distinct(), n)
     sets = some_of(texts, wanted, "id").mapInArrow(_sets(shingle), "node long, grams binary")
     sets = checkpointed(sets.groupBy("node").agg(F.first("grams").alias("grams")))
     swept(spark)

@@ -240,7 +240,7 @@ def _plan(nodes: DataFrame, column: str, n: int, radius: int, row_cost: float =
 def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, fp) -> (id, fp, component_id): the least id that links reach."""
     rows = checkpointed(rows.select("id", "fp"))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), rows.count())
     partitions = _plan(nodes, "fp", nodes.count(), radius)
     keys = nodes.select("fp").mapInArrow(_keys(partitions), "part int, key long, fp long")
     links = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_links(partitions, radius), "u long, v long")
@@ -260,8 +260,6 @@ SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
 SIMILAR_PRINTS, SIMILAR_RADIUS = 2, 10
 #: A wide search moves a node very often; its rows are dearer, as they take memory and disk.
 SIMILAR_ROW_COST = 400.0
-#: Nodes of a bucket that are compared one by one.
-SMALL = 32
 
 
 def _prints(batches):
@@ -339,8 +337,8 @@ def _trees(fps, radius: int, bits: list[int]) -> list:
 
 
 def _met(plans: list[list[tuple[list[int], int]]], radius: int):
-    """Over (part, key, fp, node) sorted by part and key: pairs (u, v) of nodes whose fingerprints are within the radius; of
-    more than SMALL that hang together, each with the least."""
+    """Over (part, key, fp, node) sorted by part and key: links (u, v), v the least of its tree, that connect all nodes whose
+    fingerprints under a key are connected by distances within the radius."""
     parts = [p for plan in plans for p in plan]
 
     def run(batches):
@@ -355,27 +353,16 @@ def _met(plans: list[list[tuple[list[int], int]]], radius: int):
             bits, t = parts[name[0]]
             free = [b for b in range(BITS) if b not in bits] if t == 0 else list(range(BITS))
             distinct, first, many = np.unique(fp, return_index=True, return_counts=True)
-            groups = [np.array([f], np.uint64) for f in distinct[many > 1]]
             trees = _trees(distinct, radius, free) if len(distinct) > 1 else []
             joined = set(np.concatenate(trees).tolist()) if trees else set()
-            for tree in trees + [g for g in groups if int(g[0]) not in joined]:
+            for tree in trees + [np.array([f], np.uint64) for f in distinct[many > 1] if int(f) not in joined]:
                 at = np.searchsorted(distinct, tree)
-                own = np.concatenate([np.arange(first[k], first[k] + many[k]) for k in at])
-                nodes, where = np.unique(node[own], return_index=True)
-                if len(nodes) < 2:
-                    continue
-                if len(nodes) > SMALL:
-                    yield nodes[1:], np.full(len(nodes) - 1, nodes[0]), True
-                    continue
-                f = fp[own][where]
-                a, b = np.triu_indices(len(nodes), 1)
-                near = np.bitwise_count(f[a] ^ f[b]) <= radius
-                yield nodes[b[near]], nodes[a[near]], False
+                nodes = np.unique(np.concatenate([node[first[k] : first[k] + many[k]] for k in at]))
+                yield nodes[1:], np.full(len(nodes) - 1, nodes[0])
 
         def batch_of(found):
             u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            large = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, bool)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(large)], ["u", "v", "large"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         last, held = None, []
         for batch in batches:
@@ -405,10 +392,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = [f"fp{k}" for k in range(SIMILAR_PRINTS)]
     rows = checkpointed(texts.mapInArrow(_prints, f"id long, node long, {', '.join(f'{p} long' for p in prints)}"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(p).alias(p) for p in prints]))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(p).alias(p) for p in prints]), rows.count())
     n = nodes.count()
     plans = [_plan(nodes, p, n, SIMILAR_RADIUS, SIMILAR_ROW_COST) for p in prints]
     keys = nodes.select("node", *prints).mapInArrow(_wide_keys(plans), "part int, key long, fp long, node long")
-    met = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_met(plans, SIMILAR_RADIUS), "u long, v long, large boolean")
-    links = shingle_sets.verified(texts, nodes, checkpointed(met.distinct()), SIMILAR_SHINGLE, SIMILAR)
+    met = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_met(plans, SIMILAR_RADIUS), "u long, v long")
+    links = shingle_sets.verified(texts, nodes, met, n, SIMILAR_SHINGLE, SIMILAR)
     return least_ids(rows.select("id", "node"), nodes.select("node", "first", "n"), links, "node")
