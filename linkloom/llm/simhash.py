@@ -260,6 +260,8 @@ SIMILAR_SHINGLE, SIMILAR = 5, (4, 5)
 SIMILAR_PRINTS, SIMILAR_RADIUS = 2, 10
 #: A wide search moves a node very often; its rows are dearer, as they take memory and disk.
 SIMILAR_ROW_COST = 400.0
+#: Fewer nodes than this are searched by the plan for so many, so that the rows of a node do not change with their number.
+SIMILAR_LEAST = 300_000
 
 
 def _prints(batches):
@@ -394,7 +396,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = checkpointed(texts.mapInArrow(_prints, f"id long, node long, {', '.join(f'{p} long' for p in prints)}"))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(p).alias(p) for p in prints]), rows.count())
     n = nodes.count()
-    plans = [_plan(nodes, p, n, SIMILAR_RADIUS, SIMILAR_ROW_COST) for p in prints]
+    plans = [_plan(nodes, p, max(n, SIMILAR_LEAST), SIMILAR_RADIUS, SIMILAR_ROW_COST) for p in prints]
     keys = nodes.select("node", *prints).mapInArrow(_wide_keys(plans), "part int, key long, fp long, node long")
     met = keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_met(plans, SIMILAR_RADIUS), "u long, v long")
     links = shingle_sets.verified(texts, nodes, met, n, SIMILAR_SHINGLE, SIMILAR)

@@ -8,9 +8,11 @@ each block.
 
 Where equal windows meet, the occurrence in the document of least identifier is their source. Repeated windows that
 follow one another in a document and in its source, word for word, are a nonbranching path; paths compact into long
-spans, each with the coordinates of its source. Spans meet the texts in a join by document, and a digest of the words at
-the source's coordinates is compared with that of the span: a span counts only if they agree. Should a hash have misled
-any (it takes equal hashes of 104 bits), only those spans are dropped, in a second pass.
+spans, each with the coordinates of its source: edges meet in a join where one ends and the next begins, on the same
+document, source and distance between the two, and what hangs together is one path. Spans meet the texts in a join by
+document, and a digest of the words at the source's coordinates is compared with that of the span. Should a hash have misled
+any span, as may happen under a minimizer with a million windows (a window's own hash has 40 bits there), the search is made
+again with other hashes of 64 bits until none is misled, so that no true source is lost to a false one.
 
 Cases: null text has no words; texts shorter than a window lose nothing; windows of one document never count against
 itself, nor do rows of the same identifier against each other; a null identifier comes after all others; repeated rows
@@ -22,22 +24,25 @@ from __future__ import annotations
 import hashlib
 from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import checkpointed, pack, ship, unpack
+from linkloom.llm.components import components
 
 WINDOW, MINIMIZER = 13, 4
 #: Bytes of text whose windows are resolved among themselves first.
 BLOCK = 3_000_000
 #: Bytes of text that hashes are made of at once.
 PIECE = 4_000_000
-#: Bytes of a window's own hash, beside the 64 bits of its minimizer's.
-TAG = 5
+#: Bytes of a window's own hash, beside the 64 bits of its minimizer's: at first, and when the search is made again.
+TAG, WIDE_TAG = 5, 8
+#: Searches that are made before an error is raised.
+SEARCHES = 6
 #: The identifier that stands for null: above all others.
 NO_ID = 2**63 - 1
 #: A minimizer is hot if so many documents of the sample, or more, have it; its windows are dealt out one by one.
-HOT, SAMPLE = 40, 4000
+HOT, SAMPLE = 16, 8000
 
 ROWS = "key long, doc long, row long, start int, n int, tags binary, src long, src_row long, src_start int"
 
@@ -116,7 +121,7 @@ def _rolled(h, n: int, factor: int):
     return _mix(out)
 
 
-def windows(texts: list[bytes], window: int, minimizer: int):
+def windows(texts: list[bytes], window: int, minimizer: int, search: int = 0):
     """Of all texts: for each window, the index of its text, its start among the text's words, its hash, and the hash
     and the place of its minimizer."""
     import numpy as np
@@ -129,7 +134,7 @@ def windows(texts: list[bytes], window: int, minimizer: int):
     text = np.searchsorted(ends, at, side="right")
     first = np.searchsorted(text, np.arange(len(texts)))
     whole = text[: len(h) - window + 1] == text[window - 1 :]
-    tag = _rolled(h, window, 0xD6E8FEB86659FD93)
+    tag = _rolled(_mix(h + np.uint64(search)) if search else h, window, 0xD6E8FEB86659FD93)
     sub = _rolled(h, minimizer, 0xA0761D6478BD642F)
     n, span = len(tag), window - minimizer + 1
     least, place = sub[:n].copy(), np.zeros(n, np.int64)
@@ -167,7 +172,7 @@ def _runs(follows):
     return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(follows) + 1]))
 
 
-def _to_edges(window: int, minimizer: int, hot):
+def _to_edges(window: int, minimizer: int, hot, search: int, width: int):
     """Over (doc, row, text): rows of windows by minimizer, and spans that the block itself resolves (tags null)."""
 
     def run(batches):
@@ -175,7 +180,7 @@ def _to_edges(window: int, minimizer: int, hot):
         import pyarrow as pa
 
         for block in _blocks(batches):
-            found = windows([t for _, _, t in block], window, minimizer)
+            found = windows([t for _, _, t in block], window, minimizer, search)
             if found is None or not len(found[0]):
                 continue
             text, start, tag, least, place = found
@@ -205,8 +210,8 @@ def _to_edges(window: int, minimizer: int, hot):
             a, b = _runs((np.diff(w) == 1) & (text[w][1:] == text[w][:-1]) & (np.diff(place[w]) == 0) & ~is_hot[1:])
             x = w[a]
             key = np.where(is_hot[a], _mix(both[x]), least[x]).view(np.int64)
-            tags = np.ascontiguousarray(tag[w]).view(np.uint8).reshape(-1, 8)[:, :TAG]
-            tags = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.concatenate((a, b[-1:])) * TAG).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(tags).tobytes())])
+            tags = np.ascontiguousarray(tag[w]).view(np.uint8).reshape(-1, 8)[:, :width]
+            tags = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.concatenate((a, b[-1:])) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(tags).tobytes())])
             yield _rows(key, ids[text[x]], rows[text[x]], start[x], b - a, tags, None, None, None)
 
     return run
@@ -223,7 +228,11 @@ def _rows(key, doc, row, start, n, tags, src, src_row, src_start):
     return pa.RecordBatch.from_arrays([col(x, t) for x, t in ((key, long), (doc, long), (row, long), (start, int_), (n, int_), (tags, pa.binary()), (src, long), (src_row, long), (src_start, int_))], ["key", "doc", "row", "start", "n", "tags", "src", "src_row", "src_start"])
 
 
-def _to_spans(batches):
+def _to_spans(width: int):
+    return lambda batches: _spans(batches, width)
+
+
+def _spans(batches, width: int):
     """Over edge rows sorted by key, document and start: spans (doc, row, start, n, src, src_row, src_start).
 
     What is held from one batch to the next is the first occurrence of each window under the last key.
@@ -242,8 +251,8 @@ def _to_spans(batches):
             continue
         key, doc, row, start, n = (table[c].to_numpy().astype(np.int64) for c in ("key", "doc", "row", "start", "n"))
         flat = b"".join(table["tags"].to_pylist())
-        tag = np.zeros((len(flat) // TAG, 8), np.uint8)
-        tag[:, :TAG] = np.frombuffer(flat, np.uint8).reshape(-1, TAG)
+        tag = np.zeros((len(flat) // width, 8), np.uint8)
+        tag[:, :width] = np.frombuffer(flat, np.uint8).reshape(-1, width)
         tag = tag.view(np.uint64).ravel()
         owner = np.repeat(np.arange(len(n)), n)
         begun = np.cumsum(n) - n
@@ -295,22 +304,30 @@ def _hot_minimizers(rows: DataFrame, window: int, minimizer: int) -> list[int]:
     return sorted(r["key"] for r in found)
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER, search: int = 0) -> DataFrame:
     """Over (doc, row, text): compacted spans of n words, each with its source in a document of lesser identifier."""
     import numpy as np
 
     ship(rows.sparkSession)
     hot = np.array(_hot_minimizers(rows, window, minimizer), np.int64).view(np.uint64)
-    edges = rows.mapInArrow(_to_edges(window, minimizer, hot), ROWS)
-    met = edges.repartition("key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(_to_spans, SPANS)
-    # Paths: spans of one document and one source that touch, on one diagonal.
-    met = met.withColumn("diagonal", F.col("src_start") - F.col("start"))
-    path = Window.partitionBy("doc", "row", "src", "src_row", "diagonal").orderBy("start")
-    before = F.max(F.col("start") + F.col("n")).over(path.rowsBetween(Window.unboundedPreceding, -1))
-    steps = met.withColumn("begins", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    steps = steps.withColumn("path", F.sum("begins").over(path.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = steps.groupBy("doc", "row", "src", "src_row", "diagonal", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
-    return paths.select("doc", "row", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("n"), "src", "src_row", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))
+    width = WIDE_TAG if search else TAG
+    edges = rows.mapInArrow(_to_edges(window, minimizer, hot, search, width), ROWS)
+    met = edges.repartition("key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(_to_spans(width), SPANS)
+    return _compacted(checkpointed(met.distinct()), window)
+
+
+def _compacted(met: DataFrame, window: int) -> DataFrame:
+    """Runs of repeated windows as paths. A run is an edge from the place of its first window to the place after its last;
+    two edges of one document and one source that are as far apart in both are on a path where one ends and the other begins.
+    A place has one edge at most on either side, as every window has one source, so that no path branches."""
+    on = ["doc", "row", "src", "src_row", "diagonal"]
+    edges = met.select("*", (F.col("src_start") - F.col("start")).alias("diagonal"), (F.col("start") + F.col("n")).alias("end"))
+    edges = edges.select(*on, "start", "end", F.xxhash64(*on, "start").alias("edge"))
+    ends, begins = edges.select(*on, F.col("end").alias("place"), F.col("edge").alias("u")), edges.select(*on, F.col("start").alias("place"), F.col("edge").alias("v"))
+    paths = components(ends.join(begins, [*on, "place"]).select("u", "v"))
+    named = edges.join(paths, F.col("edge") == F.col("node"), "left").withColumn("path", F.coalesce("root", "edge"))
+    whole = named.groupBy(*on, "path").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.select("doc", "row", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("n"), "src", "src_row", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -404,15 +421,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows are told apart by their identifier and, only where identifiers repeat, a hash of their text.
     unique = df.groupBy(doc).count().where("count > 1").isEmpty()
     rows = df.select(doc, (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"))
-    spans = checkpointed(repeated_spans(rows, window, minimizer))
-    cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), window, with_text))
-    source = cut.where("kind = 2").select(F.col("doc").alias("src"), F.col("row").alias("src_row"), F.col("start").alias("src_start"), "n", F.col("digest").alias("there"))
-    misled = cut.where("kind = 1").join(source, ["src", "src_row", "src_start", "n"], "left").where(~F.col("digest").eqNullSafe(F.col("there")))
-    misled = misled.select("doc", "row", "start", "n", "src", "src_row", "src_start")
+    for search in range(SEARCHES):
+        spans = checkpointed(repeated_spans(rows, window, minimizer, search))
+        cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), window, with_text))
+        source = cut.where("kind = 2").select(F.col("doc").alias("src"), F.col("row").alias("src_row"), F.col("start").alias("src_start"), "n", F.col("digest").alias("there"))
+        misled = cut.where("kind = 1").join(source, ["src", "src_row", "src_start", "n"], "left").where(~F.col("digest").eqNullSafe(F.col("there")))
+        if misled.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"{SEARCHES} searches were misled by equal hashes")
     result = cut.where("kind = 0")
-    if not misled.isEmpty():
-        good = spans.join(misled, spans.columns, "left_anti")
-        result = _cut_texts(rows, good, good.limit(0), window, with_text).where("kind = 0")
     return result.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
 
 

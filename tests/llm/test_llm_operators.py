@@ -303,14 +303,32 @@ def test_substring_dedup_small_blocks_hot_passage(spark, monkeypatch):
 
 
 def test_substring_misled_hash(spark, monkeypatch):
-    """When hashes meet that texts do not, verification by source coordinates drops the span."""
-    rows = [(1, " ".join(f"a{k}" for k in range(13))), (2, " ".join(f"b{k}" for k in range(13)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    rows_ = df.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), "text")
-    spans = spark.createDataFrame([(2, 0, 0, 13, 1, 0, 0)], "doc long, row long, start int, n int, src long, src_row long, src_start int")
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda *_: spans)
-    assert got(substring_dedup.op4(df), "doc_id", "n_removed") == Counter({(1, 0): 1, (2, 0): 1})
-    assert rows_.count() == 2
+    """Windows of equal minimizers whose own hashes meet: the true source is found though a false one comes first."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "TAG", 1)  # at first one byte tells windows under a minimizer apart
+    rnd = random.Random(11)
+    rows = []
+    mark = "alpha beta gamma delta"
+    for k in range(150):  # each has the same four words amid others of its own
+        rows.append((k, " ".join([*(f"p{rnd.randrange(400)}" for _ in range(9)), mark, *(f"q{rnd.randrange(400)}" for _ in range(9))])))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 150, 3)]  # true copies
+    searches = []
+    real = substring_dedup.repeated_spans
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda *a: searches.append(a[-1]) or real(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    monkeypatch.setattr(substring_dedup, "_hot_minimizers", lambda *_: [])
+    out = substring_dedup.op4(df)
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(plain_substrings(rows))
+    assert searches[0] == 0 and len(searches) > 1
+
+
+def test_substring_paths_compact(spark):
+    """Runs that touch on one diagonal are one span, others are not."""
+    runs = [(9, 0, 10 + 5 * k, 5, 2, 0, 40 + 5 * k) for k in range(30)] + [(9, 0, 160, 3, 2, 0, 300), (9, 0, 200, 2, 3, 0, 230), (8, 0, 0, 1, 2, 0, 40)]
+    met = spark.createDataFrame(runs, substring_dedup.SPANS)
+    out = sorted((r.doc, r.start, r.n, r.src, r.src_start) for r in substring_dedup._compacted(met, 13).collect())
+    assert out == [(8, 0, 13, 2, 40), (9, 10, 162, 2, 40), (9, 160, 15, 2, 300), (9, 200, 14, 3, 230)]
 
 
 def test_word_hashes_over_pieces(monkeypatch):
