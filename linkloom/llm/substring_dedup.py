@@ -8,8 +8,8 @@ each block.
 
 Where equal windows meet, the occurrence in the document of least identifier is their source. Repeated windows that
 follow one another in a document and in its source, word for word, are a nonbranching path; paths compact into long
-spans, each with the coordinates of its source: edges meet in a join where one ends and the next begins, on the same
-document, source and distance between the two, and what hangs together is one path. Spans meet the texts in a join by
+spans, each with the coordinates of its source: where one edge ends and the next begins, on the same document, source and
+distance between the two, a place is an inner one; what is left are the ends of paths, which are joined. Spans meet the texts in a join by
 document, and a digest of the words at the source's coordinates is compared with that of the span. Should a hash have misled
 any span, as may happen under a minimizer with a million windows (a window's own hash has 40 bits there), the search is made
 again with other hashes of 64 bits until none is misled, so that no true source is lost to a false one.
@@ -24,11 +24,10 @@ from __future__ import annotations
 import hashlib
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import checkpointed, pack, ship, unpack
-from linkloom.llm.components import components
 
 WINDOW, MINIMIZER = 13, 4
 #: Bytes of text whose windows are resolved among themselves first.
@@ -42,7 +41,7 @@ SEARCHES = 6
 #: The identifier that stands for null: above all others.
 NO_ID = 2**63 - 1
 #: A minimizer is hot if so many documents of the sample, or more, have it; its windows are dealt out one by one.
-HOT, SAMPLE = 16, 8000
+HOT, SAMPLE = 40, 4000
 
 ROWS = "key long, doc long, row long, start int, n int, tags binary, src long, src_row long, src_start int"
 
@@ -313,20 +312,23 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimizer: int = MINIM
     width = WIDE_TAG if search else TAG
     edges = rows.mapInArrow(_to_edges(window, minimizer, hot, search, width), ROWS)
     met = edges.repartition("key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(_to_spans(width), SPANS)
-    return _compacted(checkpointed(met.distinct()), window)
+    return _compacted(met, window)
 
 
 def _compacted(met: DataFrame, window: int) -> DataFrame:
     """Runs of repeated windows as paths. A run is an edge from the place of its first window to the place after its last;
     two edges of one document and one source that are as far apart in both are on a path where one ends and the other begins.
-    A place has one edge at most on either side, as every window has one source, so that no path branches."""
+    A place has one edge at most on either side, as every window has one source, so that no path branches: places with both
+    are inner ones and go, and each place that an edge only leaves is joined with the next that one only enters."""
     on = ["doc", "row", "src", "src_row", "diagonal"]
-    edges = met.select("*", (F.col("src_start") - F.col("start")).alias("diagonal"), (F.col("start") + F.col("n")).alias("end"))
-    edges = edges.select(*on, "start", "end", F.xxhash64(*on, "start").alias("edge"))
-    ends, begins = edges.select(*on, F.col("end").alias("place"), F.col("edge").alias("u")), edges.select(*on, F.col("start").alias("place"), F.col("edge").alias("v"))
-    paths = components(ends.join(begins, [*on, "place"]).select("u", "v"))
-    named = edges.join(paths, F.col("edge") == F.col("node"), "left").withColumn("path", F.coalesce("root", "edge"))
-    whole = named.groupBy(*on, "path").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    edges = met.select("*", (F.col("src_start") - F.col("start")).alias("diagonal"))
+    sides = edges.select(*on, F.explode(F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("out")), F.struct((F.col("start") + F.col("n")).alias("place"), F.lit(-1).alias("out")))).alias("x")).select(*on, "x.*")
+    outer = sides.groupBy(*on, "place").agg(F.sum("out").alias("out")).where("out <> 0")
+    nth = F.row_number().over(Window.partitionBy(*on, "out").orderBy("place"))
+    outer = outer.repartition(*on).withColumn("nth", nth)
+    heads = outer.where("out > 0").select(*on, "nth", F.col("place").alias("start"))
+    tails = outer.where("out < 0").select(*on, "nth", F.col("place").alias("end"))
+    whole = heads.join(tails, [*on, "nth"])
     return whole.select("doc", "row", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("n"), "src", "src_row", (F.col("start") + F.col("diagonal")).cast("int").alias("src_start"))
 
 
@@ -421,8 +423,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows are told apart by their identifier and, only where identifiers repeat, a hash of their text.
     unique = df.groupBy(doc).count().where("count > 1").isEmpty()
     rows = df.select(doc, (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"))
+    once = rows if unique else rows.dropDuplicates(["doc", "row"])
     for search in range(SEARCHES):
-        spans = checkpointed(repeated_spans(rows, window, minimizer, search))
+        spans = checkpointed(repeated_spans(once, window, minimizer, search))
         cut = checkpointed(_cut_texts(rows, spans, spans.select("src", "src_row", "src_start", "n").distinct(), window, with_text))
         source = cut.where("kind = 2").select(F.col("doc").alias("src"), F.col("row").alias("src_row"), F.col("start").alias("src_start"), "n", F.col("digest").alias("there"))
         misled = cut.where("kind = 1").join(source, ["src", "src_row", "src_start", "n"], "left").where(~F.col("digest").eqNullSafe(F.col("there")))
