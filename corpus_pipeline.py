@@ -66,7 +66,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, as digests, and the digest of what they decode to."""
-    return byte_bpe.encode(docs, with_ids=False, block=1_000_000, known=100_000)  # beside what earlier stages hold
+    return byte_bpe.encode(docs, with_ids=False, block=1_000_000, known=100_000, keep=False)  # beside what other stages hold
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("byte_bpe", tokens)]

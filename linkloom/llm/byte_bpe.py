@@ -6,7 +6,7 @@ recursive query joins neighbouring tokens to the merge table and contracts, in e
 rank until no pair merges. An ordered aggregation over the surviving rows gives the ids.
 
 Decoding starts from ids alone: a document is the ids of its chunks, and each distinct run of ids is joined to the
-vocabulary and aggregated in order to the bytes it stands for. What a task has encoded and decoded it remembers in two
+vocabulary and aggregated in order to the bytes it stands for. What a worker has encoded and decoded it remembers in two
 generations: when the younger is full the older goes, and what was asked for since has moved to the younger by then.
 
 Cases: null and empty texts have no tokens; whole texts are encoded, very long ones in slices; repeated rows are encoded
@@ -280,7 +280,7 @@ _own: dict = {}
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> Encoder:
-    """This process's encoder; a worker keeps it, without what it remembers, from task to task."""
+    """This process's encoder; a worker keeps it from task to task."""
     if _own.get("of") != (ranks, pattern):
         _own.update(of=(ranks, pattern), encoder=Encoder(ranks, pattern))
     return _own["encoder"]
@@ -348,7 +348,7 @@ class _Document:
         return key, self.n, self.ids_hash.hexdigest(), self.bytes_hash.hexdigest(), *more
 
 
-def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int = TEXT_BLOCK, known: int = KNOWN):
+def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int = TEXT_BLOCK, known: int = KNOWN, keep: bool = False):
     """A function for mapInArrow over (id, text)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -360,7 +360,8 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
         for block in _blocks(batches, pattern == public_tokenizers.PATTERN, most):
             if encoder is None:
                 encoder = _encoder(ranks, pattern)
-                encoder.forget(known)
+                if encoder.runs_.most != known:
+                    encoder.forget(known)
             encoder.turn()
             cut = [encoder.chunks(text) for _, text, _ in block]
             distinct = set().union(*cut)
@@ -376,7 +377,7 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
                     doc = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if encoder:
+        if encoder and not keep:
             encoder.forget(known)
             del block, cut, distinct, ids_of, runs, bytes_of
             trimmed()
@@ -384,14 +385,15 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True, block: int = TEXT_BLOCK, known: int = KNOWN) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True, block: int = TEXT_BLOCK, known: int = KNOWN, keep: bool = True) -> DataFrame:
     """Every row's ids and the bytes they decode to: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
-    block, known: characters that are taken at once and entries that are remembered, which trade memory for speed.
+    block, known: characters that are taken at once and entries that are remembered, which trade memory for speed. keep: a
+    worker remembers from task to task; if not, it gives memory back at each task's end, for what runs after.
     """
     ship(df.sparkSession)
     schema = f"id long, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>, decoded binary' if with_ids else ''}"
-    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(encode_rows(load_ranks(ranks_path), pattern, with_ids, block, known), schema).withColumnRenamed("id", id_col)
+    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(encode_rows(load_ranks(ranks_path), pattern, with_ids, block, known, keep), schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
