@@ -21,7 +21,7 @@ import os
 import re
 import tempfile
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import public_tokenizers
@@ -153,7 +153,9 @@ class Encoder:
             self.con.unregister(x)
 
     def forget(self, known: int) -> None:
-        self.runs_, self.pieces_, self.bytes_ = Memory(known), Memory(known), Memory(known)
+        self.runs_, self.bytes_ = Memory(known), Memory(known)
+        # A piece of PATTERN that stands alone is one piece again, so that chunks and pieces share a memory.
+        self.pieces_ = self.runs_ if self.cuts else Memory(known)
 
     def turn(self) -> None:
         for memory in (self.runs_, self.pieces_, self.bytes_):
@@ -196,9 +198,13 @@ class Encoder:
 
     def ids_of_pieces(self, pieces: set) -> dict[str, str]:
         """A dictionary with the ids of these distinct pieces, and others, joined by spaces."""
+        return self._contracted(self.pieces_.missing(pieces))
+
+    def _contracted(self, pieces: Iterable[str]) -> dict[str, str]:
+        """The same for pieces that are unknown, all of them."""
         known = self.pieces_
         wait: dict[bool, list[str]] = {False: [], True: []}
-        for p in known.missing(pieces):
+        for p in pieces:
             wait[len(p) * 4 > LONG and len(p.encode()) > LONG].append(p)
         for long, todo in wait.items():
             spelt = [p.encode() for p in todo]
@@ -216,9 +222,11 @@ class Encoder:
         """A dictionary with the ids of these distinct chunks, and others, joined by spaces."""
         new = self.runs_.missing(chunks)
         if new:
-            pieces = list(map(self.split, new))
-            ids = self.ids_of_pieces(set().union(*pieces))
-            for c, p in zip(new, pieces):
+            alone = set(filter(_ONE, new)) if self.cuts else set()
+            rest = [c for c in new if c not in alone]
+            pieces = list(map(self.split, rest))
+            ids = self._contracted(alone.union(self.pieces_.missing(set().union(*pieces))))
+            for c, p in zip(rest, pieces):
                 own = list(map(ids.__getitem__, p))
                 run = self.runs_.young[c] = " ".join(own)
                 if len(own) > 1:
@@ -268,12 +276,51 @@ class Encoder:
         """A text cut before each space that something other than white space follows: there every piece of PATTERN ends."""
         if not self.cuts:
             return [text] if text else []
-        if _RAGGED(text):
-            return [c for c in _CUTS.split(text) if c]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + c for c in rest]
+        return [c for c in _CUTS.split(text) if c]
 
+    def documents(self, texts: list[str], most: int) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, joined by spaces, and the bytes that these stand for.
 
+        Where every space begins a chunk, texts of up to `most` characters are cut, and put together again, as columns: a chunk is
+        looked up once, however often it occurs.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        apart = [None if self.cuts and len(t) <= most and not _RAGGED(t) else self.chunks(t) for t in texts]
+        heads, tails = [], []
+        for text, own in zip(texts, apart):
+            if own is None:
+                head, space, tail = text.partition(" ")
+                own = [head] if head else []
+                if space:
+                    tails.append(tail)
+            else:
+                space = ""
+            heads.append((own, bool(space)))
+        lists = pc.split_pattern(pa.array(tails, pa.string()), " ")
+        found = lists.flatten().dictionary_encode()
+        keys = pc.binary_join_element_wise("", found.dictionary, " ").to_pylist()
+        ids_of = self.ids_of(set(keys).union(*[own for own, _ in heads]))
+        distinct = list(map(ids_of.__getitem__, keys))
+        bytes_of = self.bytes_of(set(distinct).union(*[map(ids_of.__getitem__, own) for own, _ in heads]))
+
+        def joined(values: list, kind, between) -> Iterator:
+            rows = pa.array(values, kind).take(found.indices)
+            return iter(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, rows), between).to_pylist())
+
+        ids, spelt = joined(distinct, pa.string(), " "), joined(list(map(bytes_of.__getitem__, distinct)), pa.binary(), b"")
+        for own, more in heads:
+            runs = list(map(ids_of.__getitem__, own))
+            decoded = list(map(bytes_of.__getitem__, runs))
+            if more:
+                runs.append(next(ids))
+                decoded.append(next(spelt))
+            yield " ".join(runs), b"".join(decoded)
+
+
+#: A chunk that is one piece of PATTERN.
+_ONE = re.compile(r" ?(?:[A-Za-z]+|[0-9]+)").fullmatch
 _RAGGED = re.compile(r" (?=\s|\Z)").search
 _CUTS = re.compile(r"(?= \S)")
 _own: dict = {}
@@ -332,10 +379,9 @@ class _Document:
         self.n, self.ids_hash, self.bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
         self.ids, self.decoded = ([], []) if with_ids else (None, None)
 
-    def add(self, runs: list[str], bytes_of: dict[str, bytes]) -> None:
-        if not runs:
+    def add(self, ids: str, decoded: bytes) -> None:
+        if not ids:
             return
-        ids, decoded = " ".join(runs), b"".join(map(bytes_of.__getitem__, runs))
         self.ids_hash.update((" " + ids if self.n else ids).encode())
         self.bytes_hash.update(decoded)
         self.n += ids.count(" ") + 1
@@ -355,23 +401,17 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
         import pyarrow as pa
 
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
-        doc = block = cut = distinct = ids_of = runs = bytes_of = None
-        encoder = None
+        doc = block = encoder = None
         for block in _blocks(batches, pattern == public_tokenizers.PATTERN, most):
             if encoder is None:
                 encoder = _encoder(ranks, pattern)
                 if encoder.runs_.most != known:
                     encoder.forget(known)
             encoder.turn()
-            cut = [encoder.chunks(text) for _, text, _ in block]
-            distinct = set().union(*cut)
-            ids_of = encoder.ids_of(distinct)
-            runs = [list(map(ids_of.__getitem__, c)) for c in cut]
-            bytes_of = encoder.bytes_of(set(map(ids_of.__getitem__, distinct)))
             out = []
-            for (key, _, last), own in zip(block, runs):
+            for (key, _, last), (ids, decoded) in zip(block, encoder.documents([text for _, text, _ in block], 2 * most)):
                 doc = doc or _Document(with_ids)
-                doc.add(own, bytes_of)
+                doc.add(ids, decoded)
                 if last:
                     out.append(doc.row(key))
                     doc = None
@@ -379,7 +419,7 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if encoder and not keep:
             encoder.forget(known)
-            del block, cut, distinct, ids_of, runs, bytes_of
+            del block
             trimmed()
 
     return run
