@@ -97,6 +97,11 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _list(column) -> list:
+    """A column without nulls as a list, faster than to_pylist."""
+    return (column.combine_chunks() if hasattr(column, "combine_chunks") else column).to_numpy(zero_copy_only=False).tolist()
+
+
 class Memory:
     """A dictionary of two generations."""
 
@@ -214,7 +219,7 @@ class Encoder:
                 end = max(at + 1, bisect_right(ends, (ends[at - 1] if at else 0) + PIECE_BLOCK))
                 rows = self._fixpoint(spelt[at:end], long)
                 got = self._run("SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM rows GROUP BY w ORDER BY w", rows=rows)
-                known.young.update(zip(todo[at:end], got.column("ids").to_pylist()))
+                known.young.update(zip(todo[at:end], _list(got.column("ids"))))
                 at = end
         return known.young
 
@@ -262,7 +267,7 @@ class Encoder:
         if (got.column("known").to_numpy() < got.column("n").to_numpy()).any():
             raise ValueError("an id is not in the vocabulary")
         out = [b""] * n
-        for k, spelt in zip(got.column("w").to_pylist(), got.column("spelt").to_pylist()):
+        for k, spelt in zip(_list(got.column("w")), _list(got.column("spelt"))):
             out[k] = spelt
         return out
 
@@ -300,7 +305,7 @@ class Encoder:
             heads.append((own, bool(space)))
         lists = pc.split_pattern(pa.array(tails, pa.string()), " ")
         found = lists.flatten().dictionary_encode()
-        keys = pc.binary_join_element_wise("", found.dictionary, " ").to_pylist()
+        keys = _list(pc.binary_join_element_wise("", found.dictionary, " "))
         ids_of = self.ids_of(set(keys).union(*[own for own, _ in heads]))
         distinct = list(map(ids_of.__getitem__, keys))
         bytes_of = self.bytes_of(set(distinct).union(*[map(ids_of.__getitem__, own) for own, _ in heads]))
