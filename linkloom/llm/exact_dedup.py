@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import checkpointed
+
 #: Bytes of the text in the range key.
 PREFIX = 16
 #: A digest is hot if it has more rows than a partition should get, and more than this.
@@ -38,15 +40,17 @@ def content_groups(df: DataFrame, text_col: str, id_col: str, keep: str = "max",
     names = ["row", "was_null"] if carry else []
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(HOT_LEAST, math.ceil(df.count() / (4.0 * parts)))
+    counts = checkpointed(df.select(F.sha2(content, 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")))
+    share = max(HOT_LEAST, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / (4.0 * parts)))
     # Fewer than 4 * parts digests can have more than `share` rows, so this table is small enough to broadcast.
-    hot = df.select(F.sha2(content, 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share)
-    hot = hot.select("digest", F.ceil(F.col("n") / share).cast("int").alias("ways"))
+    hot = counts.where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("ways"))
+    salted = not hot.isEmpty()
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), content.alias("content"), *more).withColumn("digest", F.sha2("content", 256))
     salt = F.when(F.col("ways").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", F.lit(7)), F.col("ways")))
     prefix = F.substring(F.encode("content", "UTF-8"), 1, PREFIX)
-    rows = rows.join(F.broadcast(hot), "digest", "left").select("id", "content", "digest", *names, salt.cast("int").alias("salt"), prefix.alias("prefix"))
+    rows = rows.join(F.broadcast(hot), "digest", "left") if salted else rows.withColumn("ways", F.lit(None).cast("int"))
+    rows = rows.select("id", "content", "digest", *names, salt.cast("int").alias("salt"), prefix.alias("prefix"))
 
     better = F.desc_nulls_last("id") if keep == "max" else F.asc_nulls_last("id")
     key = ["prefix", "digest", "salt"]
@@ -68,13 +72,13 @@ def content_groups(df: DataFrame, text_col: str, id_col: str, keep: str = "max",
         F.sum("size").over(Window.partitionBy("digest", "content")).alias("all_size"),
         (F.row_number().over(whole) == 1).alias("wins"),
     )
-    out = local.join(F.broadcast(left), ["digest", "salt", "run"], "left")
+    out = local.join(F.broadcast(left), ["digest", "salt", "run"], "left") if salted else local
     merged = F.col("best").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
-        F.when(merged, F.col("best.head")).otherwise(F.col("head")).alias("keep_id"),
-        F.coalesce("all_size", "size").alias("group_size"),
-        (F.col("begins") & F.coalesce("wins", F.lit(True))).alias("kept"),
+        (F.when(merged, F.col("best.head")).otherwise(F.col("head")) if salted else F.col("head")).alias("keep_id"),
+        (F.coalesce("all_size", "size") if salted else F.col("size")).alias("group_size"),
+        ((F.col("begins") & F.coalesce("wins", F.lit(True))) if salted else F.col("begins")).alias("kept"),
         F.col("digest").alias("text_sha256"),
         *(["content", *names] if carry else []),
     )
