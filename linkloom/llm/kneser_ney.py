@@ -4,8 +4,8 @@ Training counts n-grams of all trusted documents of each language, by map-side c
 distinct n-grams that extend them to the left; discounts for counts of one, two, and three or more follow, for each
 language and order, from the counts of counts.
 
-Scoring asks, for each input file, which distinct n-grams it has (a set that the texts' bytes bound, map-side combined),
-and joins the distinct requests, order by order, to sharded tables of counts. Probabilities go back to the files that
+Scoring asks, for each group of GROUP bytes of an input file, which distinct n-grams it has (a set that the texts' bytes
+bound, map-side combined), and joins the distinct requests, order by order, to sharded tables of counts. Probabilities go back to the groups that
 asked, where they meet the texts, compressed, in a stream. So no table of the model is broadcast or held whole.
 
 A document is kept if its mean log probability per byte lies within quantiles of its language: those of trusted documents
@@ -34,8 +34,10 @@ PRIOR = 200.0
 #: The least spread that counts, and how many trusted documents more must be left out for the quantiles to be trusted:
 #: the ranges are widened by FEW / their number besides.
 LEAST_SPREAD, FEW = 0.03, 20.0
-#: Bytes of text in a group that is scored together, where an input file has more (about).
-GROUP = 256_000_000
+#: Bytes of text in a group that is scored together, where a part of an input file that one task reads has more.
+GROUP = 128_000_000
+#: Where input files are few, shuffle partitions for each, so that groups seldom share one; and how many are few.
+APART, FEW_PARTITIONS = 4, 1000
 
 
 def _grams(text: bytes, order: int):
@@ -209,15 +211,47 @@ def _score(order: int):
     return run
 
 
+def _grouped(inner, most: int):
+    """inner over (part, ...), for rows (place, other, ..., text): a place is what a task reads of one input file, and its rows
+    are dealt to parts by the bytes before them; rows without a place keep `other`.
+
+    A file's rows come in the same order whenever it is read, so that both readings deal alike; if they ever do not,
+    _score finds n-grams that were not asked for, and fails.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def parts():
+            before: dict[int, int] = {}
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.columns[-1]), 0)
+                out = []
+                for place, other, n in zip(*(c.to_pylist() for c in (*batch.columns[:2], sizes))):
+                    if place is not None:
+                        at = before.get(place, 0)
+                        before[place] = at + n
+                        other = (place + at // most * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+                    out.append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns[2:]], names=["part", *batch.schema.names[2:]])
+
+        yield from inner(parts())
+
+    return run
+
+
 def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(id, lang, n_bytes, log_p): mean log probability per byte, null without text or model."""
     spark = df.sparkSession
     files = max(1, len(df.inputFiles()))
     size = df.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    ways = max(1, math.ceil(size / files / GROUP))
-    part = F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(ways)))
-    rows = df.select(part.alias("part"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    asked = rows.select("part", "lang", "text").mapInArrow(_count(order, False), "part long, lang string, gram long, n long").groupBy("part", "lang", "gram").agg(F.lit(1).alias("one"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / GROUP), min(APART * files, FEW_PARTITIONS))
+    # Rows that come from no file have no order of their own, and go by a digest.
+    place = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    other = F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(max(1, math.ceil(size / GROUP))))
+    rows = df.select(place.alias("place"), other.alias("other"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    asked = rows.select("place", "other", "lang", "text").mapInArrow(_grouped(_count(order, False), GROUP), "part long, lang string, gram long, n long").groupBy("part", "lang", "gram").agg(F.lit(1).alias("one"))
     asked = checkpointed(asked.join(langs.select(F.col("lang").alias("l")), F.col("lang").eqNullSafe(F.col("l")), "left_semi").select("part", "lang", "gram"))
     swept(spark)
     p = probabilities(asked, model)
@@ -225,9 +259,9 @@ def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFra
     told = asked.join(p, asked["lang"].eqNullSafe(p["l"]) & (asked["gram"] == p["g"]))
     none = lambda kind: F.lit(None).cast(kind)
     told = told.select("part", F.lit(0).alias("kind"), none("long").alias("id"), "lang", none("binary").alias("packed"), "gram", F.log("p").alias("log_p"))
-    texts = rows.select("part", "id", "lang", "text").mapInArrow(pack, "part long, id long, lang string, packed binary")
+    texts = rows.select("place", "other", "id", "lang", "text").mapInArrow(_grouped(pack, GROUP), "part long, id long, lang string, packed binary")
     texts = texts.select("part", F.lit(1), "id", "lang", "packed", none("long"), none("double"))
-    met = told.unionAll(texts).repartition("part").sortWithinPartitions("part", "kind")
+    met = told.unionAll(texts).repartition(partitions, "part").sortWithinPartitions("part", "kind")
     return met.mapInArrow(_score(order), "id long, lang string, n_bytes long, log_p double")
 
 
