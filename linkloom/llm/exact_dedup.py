@@ -53,7 +53,7 @@ def content_groups(df: DataFrame, text_col: str, id_col: str, keep: str = "max",
     rows = rows.select("id", "content", "digest", *names, salt.cast("int").alias("salt"), prefix.alias("prefix"))
 
     better = F.desc_nulls_last("id") if keep == "max" else F.asc_nulls_last("id")
-    key = ["prefix", "digest", "salt"]
+    key = ["prefix", "digest", "salt"] if salted else ["prefix", "digest"]
     place = Window.partitionBy(*key).orderBy("content", better)
     dealt = rows.repartitionByRange(*key)
     # Runs of equal texts: a row begins one unless it equals its neighbour, byte for byte.
