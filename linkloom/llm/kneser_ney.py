@@ -34,10 +34,9 @@ PRIOR = 200.0
 #: The least spread that counts, and how many trusted documents more must be left out for the quantiles to be trusted:
 #: the ranges are widened by FEW / their number besides.
 LEAST_SPREAD, FEW = 0.03, 20.0
-#: Bytes of text in a group that is scored together, where a part of an input file that one task reads has more.
-GROUP = 128_000_000
-#: Where input files are few, shuffle partitions for each, so that groups seldom share one; and how many are few.
-APART, FEW_PARTITIONS = 4, 1000
+#: Bytes of text in a group that is scored together, where what a task reads of a stretch of an input file has more, and bytes
+#: of a stretch.
+GROUP, STRETCH = 128_000_000, 64_000_000
 
 
 def _grams(text: bytes, order: int):
@@ -212,8 +211,8 @@ def _score(order: int):
 
 
 def _grouped(inner, most: int):
-    """inner over (part, ...), for rows (place, other, ..., text): a place is what a task reads of one input file, and its rows
-    are dealt to parts by the bytes before them; rows without a place keep `other`.
+    """inner over (part, ...), for rows (place, other, ..., text): a place is a stretch of an input file, and the rows that a task
+    reads of it are dealt to parts by the bytes before them; rows without a place keep `other`.
 
     A file's rows come in the same order whenever it is read, so that both readings deal alike; if they ever do not,
     _score finds n-grams that were not asked for, and fails.
@@ -244,11 +243,10 @@ def _grouped(inner, most: int):
 def score(df: DataFrame, model: tuple[DataFrame, DataFrame, int], langs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(id, lang, n_bytes, log_p): mean log probability per byte, null without text or model."""
     spark = df.sparkSession
-    files = max(1, len(df.inputFiles()))
     size = df.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / GROUP), min(APART * files, FEW_PARTITIONS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * size / GROUP))
     # Rows that come from no file have no order of their own, and go by a digest.
-    place = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    place = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / STRETCH)))
     other = F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(max(1, math.ceil(size / GROUP))))
     rows = df.select(place.alias("place"), other.alias("other"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     asked = rows.select("place", "other", "lang", "text").mapInArrow(_grouped(_count(order, False), GROUP), "part long, lang string, gram long, n long").groupBy("part", "lang", "gram").agg(F.lit(1).alias("one"))
