@@ -16,6 +16,7 @@ alike; extra columns are ignored. No special tokens are recognised.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import os
 import re
@@ -407,21 +408,25 @@ def encode_rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, most: int
 
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if with_ids else []))
         doc = block = encoder = None
-        for block in _blocks(batches, pattern == public_tokenizers.PATTERN, most):
-            if encoder is None:
-                encoder = _encoder(ranks, pattern)
-                if encoder.runs_.most != known:
-                    encoder.forget(known)
-            encoder.turn()
-            out = []
-            for (key, _, last), (ids, decoded) in zip(block, encoder.documents([text for _, text, _ in block], 2 * most)):
-                doc = doc or _Document(with_ids)
-                doc.add(ids, decoded)
-                if last:
-                    out.append(doc.row(key))
-                    doc = None
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        gc.disable()  # what a block makes is millions of strings and lists of them, without a cycle
+        try:
+            for block in _blocks(batches, pattern == public_tokenizers.PATTERN, most):
+                if encoder is None:
+                    encoder = _encoder(ranks, pattern)
+                    if encoder.runs_.most != known:
+                        encoder.forget(known)
+                encoder.turn()
+                out = []
+                for (key, _, last), (ids, decoded) in zip(block, encoder.documents([text for _, text, _ in block], 2 * most)):
+                    doc = doc or _Document(with_ids)
+                    doc.add(ids, decoded)
+                    if last:
+                        out.append(doc.row(key))
+                        doc = None
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        finally:
+            gc.enable()
         if encoder and not keep:
             encoder.forget(known)
             del block
