@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -385,6 +386,41 @@ def test_language_id_accuracy(spark, sf):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
+def plain_ranks(texts, depth=400):
+    """The most frequent runs of one to three letters, words between bars, bars alone and bars in the middle left out."""
+    seen = Counter()
+    for text in texts:
+        words = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()
+        for word in words:
+            seen.update(word)
+            seen.update(("|" + word + "|")[k : k + 3] for k in range(len(word)))
+        line = "|" + "|".join(words) + "|"
+        seen.update(line[k : k + 2] for k in range(len(line) - 1))
+    value = lambda g: sum((1 if c == "|" else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    return {g: k for k, g in enumerate(sorted(seen, key=lambda g: (-seen[g], value(g)))[:depth])}
+
+
+def test_language_id_against_plain_ranks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    by = defaultdict(list)
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            by[r.lang].append(r.text or "")
+    assert max(map(len, by.values())) < language_id.TRAIN_ROWS  # all of them are learned from
+    profiles = {lang: plain_ranks(texts) for lang, texts in sorted(by.items())}
+    want = {}
+    for r in docs:
+        own = plain_ranks([r.text or ""])
+        if not own:
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        cost = {lang: sum(abs(k - p[g]) if g in p else 400 for g, k in own.items()) for lang, p in profiles.items()}
+        best = min(cost, key=lambda lang: (cost[lang], lang))
+        want[r.doc_id] = (best, pytest.approx(1 - cost[best] / (400 * len(own))))
+    out = language_id.op6(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert len(out) == len(docs) and all((r.lang_pred, r.score) == want[r.doc_id] for r in out)
+
+
 def test_rank_order_distance_by_hand():
     rank = {g: k for k, g in enumerate([1, 2, 3])}
     profiles = language_id.Profiles({"a": [ord("x"), ord("y")], "b": [ord("y"), ord("x")]}, 5)
@@ -460,6 +496,38 @@ def test_kneser_ney_counts_all_trusted_documents(spark, monkeypatch):
     assert counted == {"en": 9 * sum(kept), "rare": 9 * (len(kept) - sum(kept))}
 
 
+def test_kneser_ney_groups_change_nothing(spark, sf, monkeypatch):
+    """Texts are scored alike, however many groups of a file's bytes they are dealt to."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id: r for r in kneser_ney.op7(docs, labels).collect()}
+    parts = []
+    inner = kneser_ney._grouped
+
+    def spy(f, most):
+        parts.append(most)
+        return inner(f, most)
+
+    monkeypatch.setattr(kneser_ney, "_grouped", spy)
+    monkeypatch.setattr(kneser_ney, "GROUP", 50_000)
+    out = kneser_ney.op7(docs, labels).collect()
+    assert parts == [50_000] * 2 and len(out) == len(want)
+    for r in out:
+        w = want[r.doc_id]
+        assert (r.kept, r.n_bytes, r.perplexity) == (w.kept, w.n_bytes, None if w.perplexity is None else pytest.approx(w.perplexity))
+
+
+def test_kneser_ney_groups_are_of_bounded_bytes():
+    import pyarrow as pa
+
+    rows = [(1, 0, "ab" * 3)] * 5 + [(2, 0, None), (2, 0, "x" * 100), (2, 0, "y"), (None, 7, "z" * 50), (None, 7, "")]
+    batches = pa.Table.from_pylist([dict(zip(("place", "other", "text"), r)) for r in rows], pa.schema([("place", pa.int64()), ("other", pa.int64()), ("text", pa.string())])).to_batches(max_chunksize=3)
+    deal = lambda: [tuple(r.values()) for b in kneser_ney._grouped(iter, 10)(iter(batches)) for r in b.to_pylist()]
+    parts = deal()
+    assert parts == deal() and [t for _, t in parts] == [t for _, _, t in rows]
+    # A row begins a group if ten bytes or more lie before it that the last group does not hold.
+    assert [p == q for (p, _), (q, _) in zip(parts, parts[1:])] == [True, False, True, False, False, True, False, False, True]
+
+
 def plain_fingerprint(text):
     import xxhash
 
