@@ -735,3 +735,30 @@ def test_token_counts(spark, odd, odd_rows, none, tmp_path):
     wrong.withColumn("version", F.lit("another")).write.parquet(str(tmp_path / "old"))
     assert 77 not in {r.n_tokens for r in token_counts.token_counts(half, str(tmp_path / "old")).collect()}  # but not from another tokenizer's
     assert token_counts.op10(none).count() == 0
+
+
+def test_components_of_bounded_tasks(spark, monkeypatch):
+    """A small graph takes a few jobs, not several for each round; larger ones are joined up in bounded tasks and by stars alike."""
+    import random
+
+    rnd = random.Random(3)
+    edges = [(k, k + 1) for k in range(0, 120)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(110)] + [(-5, 7), (500, 450), (450, 500)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    want = {k: find(k) for e in edges if e[0] != e[1] for k in e}
+    spark.sparkContext.setJobGroup("components", "")
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for most in (5, 40, 100):
+        monkeypatch.setattr(components, "ALONE", most)
+        assert {r.node: r.root for r in components.components(df).collect()} == want
