@@ -253,3 +253,31 @@ def test_pandas_reads_what_is_written(spark, tmp_path):
     back.to_csv(tmp_path / "p.tsv", sep="\t", index=False)
     again = tables.read_source(spark, str(tmp_path / "p.tsv")).drop("src")
     assert sorted(map(tuple, again.collect())) == sorted(rows)
+
+
+def test_pairs_of_large_keys_are_dealt_out(spark, monkeypatch):
+    """A large name's pairs are made by many tasks, each pair once and with both of its rows; what is evaluated from tallies
+    is what is evaluated from pairs."""
+    monkeypatch.setattr(blocking, "SIDE", 8)
+    monkeypatch.setattr(blocking, "TASK", 100)
+    rows = [(f"S{k % 3 + 1}-{k}", k % 3 + 1, "one large name" if k < 120 else f"name number{k // 2}", f"{k % 5} street{k % 7} road", "en") for k in range(150)]
+    rows += [("S1-900", 1, "", "", None), ("S2-901", 2, None, None, "en")]
+    records = spark.createDataFrame(rows, "entity_id string, src int, business_name string, business_address string, country string")
+    carry = records.select("entity_id", "business_name")
+    found = blocking.v1(records, carry)
+    pairs = [(r.s1_id, r.cand_id) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and {p for p in pairs if int(p[0][3:]) < 120} >= {(f"S1-{a}", f"S{b % 3 + 1}-{b}") for a in range(0, 120, 3) for b in range(120) if b % 3}
+    assert sorted(pairs) == sorted((r.s1_id, r.cand_id) for r in blocking.v1(records).collect())
+    names = {r[0]: r[2] for r in rows}
+    assert all(r.a.business_name == names[r.s1_id] and r.b.business_name == names[r.cand_id] for r in found.collect())
+    sizes = found.rdd.glom().map(len).collect()
+    assert max(sizes) < len(pairs) / 4
+    twice = records.unionAll(records.where("entity_id = 'S1-3'"))  # an identifier that two records share
+    assert sorted((r.s1_id, r.cand_id) for r in blocking.v1(twice).collect()) == sorted(pairs)
+    scored = found.select("s1_id", "cand_id", (F.abs(F.hash("s1_id", "cand_id")) % 10 / 10).alias("score")).cache()
+    truth = scored.where("hash(cand_id, s1_id) % 4 = 0").select("s1_id", "cand_id").unionAll(spark.createDataFrame([("S1-900", "S2-901"), ("S1-0", "S2-901")], "s1_id string, cand_id string"))
+    spine, steps = records.where("src = 1").select(F.col("entity_id").alias("s1_id")), [0.2, 0.5, 0.8]
+    true, tallies = evaluate.true_counts(truth), evaluate.tallied(features.labelled(scored, truth), steps, 0.5)
+    want = evaluate.report(spine, truth, scored, evaluate.predictions(scored, 0.5), scored, steps)
+    for name, df in evaluate.report_tallied(spine, true, tallies, steps).items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, want[name].collect())), name
