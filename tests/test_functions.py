@@ -76,3 +76,15 @@ def test_ratios(spark):
     pairs = [("", ""), ("acme corp", "acme corporation"), ("a", ""), ("same", "same")]
     assert one(spark, pairs, S.ratio(F.col("c0"), F.col("c1"))) == [1.0, pytest.approx(18 / 25), 0.0, 1.0]
     assert one(spark, pairs, S.matching_blocks_ratio(F.col("c0"), F.col("c1"))) == [pytest.approx(difflib.SequenceMatcher(None, a, b).ratio()) for a, b in pairs]
+
+
+def test_common_lengths_of_many_pairs():
+    import random
+
+    from linkloom.functions import similarity
+
+    rnd = random.Random(1)
+    text = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(190)))
+    a, b = [text("abcé\U0001F600 ") for _ in range(300)] + ["", "x", ""], [text("abcdé ") for _ in range(300)] + ["", "", "y"]
+    assert similarity.common_lengths(a, b).tolist() == [similarity.common_length(x, y) for x, y in zip(a, b)]
+    assert similarity.common_lengths([], []).tolist() == []
