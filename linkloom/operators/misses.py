@@ -1,5 +1,5 @@
 """Missed pairs of equal names, made and compared block by block: a task's pairs exist as arrays alone, some thousands at a
-time, and are counted there."""
+time, and are listed or counted there."""
 
 from __future__ import annotations
 
@@ -14,6 +14,28 @@ from linkloom.functions.similarity import block_ratios
 #: Pairs that are compared at once, and tokens of a text up to which sets are compared as rows of numbers.
 PAIRS, MOST_TOKENS = 65_536, 64
 
+#: The columns of a missed pair, as miss_features has them.
+LISTED = (
+    "s1_id string, cand_id string, name_exact double, name_ratio double, name_jaccard double, name_overlap double, shared_name_tokens int, "
+    "address_exact double, address_ratio double, address_jaccard double, address_overlap double, shared_address_tokens int, "
+    "address_number_equal double, country_equal double, s1_name string, true_name string, s1_address string, true_address string"
+)
+
+
+def listed(blocks: DataFrame) -> DataFrame:
+    """blocks: as blocking.named_alike makes them. A row for each pair, as diagnose.miss_features makes it."""
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records, i, j in _pairs(batches):
+            found = _compared(records, i, j)
+            for name, k, at in (("s1_id", 1, i), ("cand_id", 1, j), ("s1_name", 0, i), ("true_name", 0, j), ("s1_address", 2, i), ("true_address", 2, j)):
+                found[name] = pa.array([r[k] for r in records], pa.string()).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in columns], columns)
+
+    return blocks.mapInArrow(rows, LISTED)
+
+
 def value_counts(blocks: DataFrame, columns: list[str]) -> DataFrame:
     """How many pairs have each value of each column: (column, v, n), a row or more for each value."""
 

@@ -52,3 +52,10 @@ def test_values_by_blocks(alike):
     blocks, plain = alike
     columns = ["name_ratio", "address_ratio", "address_jaccard", "address_overlap", "shared_address_tokens"]
     assert rows_of(diagnose.described(misses.value_counts(blocks, columns))) == rows_of(diagnose.describe(plain, columns))
+
+
+def test_rows_by_blocks(alike):
+    blocks, plain = alike
+    found = misses.listed(blocks)
+    assert [f.dataType for f in found.schema] == [f.dataType for f in plain.schema] and found.columns == plain.columns
+    assert rows_of(found) == rows_of(plain) and plain.count() > 10_000
