@@ -52,6 +52,21 @@ def value_counts(blocks: DataFrame, columns: list[str]) -> DataFrame:
     return blocks.mapInArrow(rows, "column string, v double, n long")
 
 
+def predicate_counts(blocks: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """How many pairs there are (all) and how many satisfy each predicate, comparisons (=, >=) joined by `and`: sums of a task."""
+    names = ["all", *predicates]
+    tests = [[(c, np.equal if op == "=" else np.greater_equal, float(v)) for c, op, v in (x.split() for x in p.split(" and "))] for p in predicates.values()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(names), np.int64)
+        for records, i, j in _pairs(batches):
+            found = _compared(records, i, j)
+            sums += [len(i), *(np.logical_and.reduce([op(found[c], v) for c, op, v in test]).sum() for test in tests)]
+        yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums.tolist()], names)
+
+    return blocks.mapInArrow(rows, ", ".join(f"`{n}` long" for n in names))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
     """Records (name, id, addr, ctry, number) and pairs of their places: at most about PAIRS at a time, of one large block or
     of many small ones."""

@@ -59,3 +59,8 @@ def test_rows_by_blocks(alike):
     found = misses.listed(blocks)
     assert [f.dataType for f in found.schema] == [f.dataType for f in plain.schema] and found.columns == plain.columns
     assert rows_of(found) == rows_of(plain) and plain.count() > 10_000
+
+
+def test_profile_by_blocks(alike):
+    blocks, plain = alike
+    assert rows_of(diagnose.profiled(misses.predicate_counts(blocks, diagnose.MISS_PREDICATES))) == rows_of(diagnose.miss_profile(plain))
