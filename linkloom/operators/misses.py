@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linkloom.functions.similarity import block_ratios
-
-#: Pairs that are compared at once, and tokens of a text up to which sets are compared as rows of numbers.
-PAIRS, MOST_TOKENS = 65_536, 64
+from linkloom.operators.alike import equal, pairs_of, similarities, tokens
 
 #: The columns of a missed pair, as miss_features has them.
 LISTED = (
@@ -27,7 +25,7 @@ def listed(blocks: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in LISTED.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records, i, j in _pairs(batches):
+        for records, i, j in pairs_of(batches):
             found = _compared(records, i, j)
             for name, k, at in (("s1_id", 1, i), ("cand_id", 1, j), ("s1_name", 0, i), ("true_name", 0, j), ("s1_address", 2, i), ("true_address", 2, j)):
                 found[name] = pa.array([r[k] for r in records], pa.string()).take(pa.array(at))
@@ -41,7 +39,7 @@ def value_counts(blocks: DataFrame, columns: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, dict[float, int]] = {c: {} for c in columns}
-        for records, i, j in _pairs(batches):
+        for records, i, j in pairs_of(batches):
             found = _compared(records, i, j)
             for c, of in counts.items():
                 for v, n in zip(*(x.tolist() for x in np.unique(found[c].astype(np.float64), return_counts=True))):
@@ -59,7 +57,7 @@ def predicate_counts(blocks: DataFrame, predicates: dict[str, str]) -> DataFrame
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(names), np.int64)
-        for records, i, j in _pairs(batches):
+        for records, i, j in pairs_of(batches):
             found = _compared(records, i, j)
             sums += [len(i), *(np.logical_and.reduce([op(found[c], v) for c, op, v in test]).sum() for test in tests)]
         yield pa.RecordBatch.from_arrays([pa.array([n]) for n in sums.tolist()], names)
@@ -67,96 +65,13 @@ def predicate_counts(blocks: DataFrame, predicates: dict[str, str]) -> DataFrame
     return blocks.mapInArrow(rows, ", ".join(f"`{n}` long" for n in names))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
-    """Records (name, id, addr, ctry, number) and pairs of their places: at most about PAIRS at a time, of one large block or
-    of many small ones."""
-    records, found, size = [], [], 0
-    for name, left, right, gone in _blocks(batches):
-        if not left or not right:
-            continue
-        lo, mid = len(records), len(records) + len(left)
-        records += [(name, r[0], *r[2:]) for r in left + right]
-        places = {r[0]: k for k, r in enumerate(left, lo)}, {r[0]: k for k, r in enumerate(right, mid)}
-        out = np.array([places[0][r[0]] * len(records) + places[1][r[1]] for r in gone], np.int64)
-        step = max(1, PAIRS // len(right))
-        for k in range(lo, mid, step):
-            some, others = np.arange(k, min(mid, k + step)), np.arange(mid, len(records))
-            i, j = np.repeat(some, len(others)), np.tile(others, len(some))
-            if len(out):
-                stays = ~np.isin(i * len(records) + j, out)
-                i, j = i[stays], j[stays]
-            found.append((i, j))
-            size += len(i)
-            if size >= PAIRS // 2:
-                yield records, *map(np.concatenate, zip(*found))
-                found, size = [], 0
-        if not found:
-            records = []
-    if size:
-        yield records, *map(np.concatenate, zip(*found))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list, list]]:
-    """The name of each block and its rows (id, other, addr, ctry, number) of each side."""
-    last, sides = None, ([], [], [])
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != last:
-                if last:
-                    yield last[0], *sides
-                last, sides = row[:3], ([], [], [])
-            sides[row[3]].append(row[4:])
-    if last:
-        yield last[0], *sides
-
-
-def _numbered(texts: list) -> tuple[np.ndarray, list]:
-    """A number for each text, the same for equal ones, and the texts by number."""
-    numbers: dict = {}
-    return np.array([numbers.setdefault(t, len(numbers)) for t in texts], np.int64), list(numbers)
-
-
 def _compared(records: list[tuple], i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
     """The similarities of pairs of records of equal names, which are not empty; addresses that meet more than once are compared once."""
     one = np.ones(len(i))
     out = {c: one for c in ("name_exact", "name_ratio", "name_jaccard", "name_overlap")}
-    tokens = lambda t: {x for x in t.split(" ") if x}
-    code, names = _numbered([r[0] for r in records])
-    out["shared_name_tokens"] = np.array([len(tokens(t)) for t in names], np.int32)[code[i]]
+    shared = {t: len(tokens(t)) for t in {r[0] for r in records}}
+    out["shared_name_tokens"] = np.array([shared[r[0]] for r in records], np.int32)[i]
     for c, k in (("country_equal", 3), ("address_number_equal", 4)):
-        code, texts = _numbered([r[k] for r in records])
-        full = np.array([t != "" for t in texts], bool)
-        out[c] = ((code[i] == code[j]) & full[code[i]]).astype(np.float64)
-    code, texts = _numbered([r[2] for r in records])
-    some, back = np.unique(code[i] * len(texts) + code[j], return_inverse=True)
-    x, y = np.divmod(some, len(texts))
-    sets = [tokens(t) for t in texts]
-    size, shared = np.array([len(s) for s in sets], np.int64), _shared(sets, x, y)
-    either, least = size[x] + size[y] - shared, np.minimum(size[x], size[y])
-    found = {
-        "address_exact": ((x == y) & np.array([t != "" for t in texts], bool)[x]).astype(np.float64), "address_ratio": block_ratios(texts, x, y),
-        "address_jaccard": np.where(either == 0, 1.0, shared / np.maximum(either, 1)), "address_overlap": np.where(least == 0, 0.0, shared / np.maximum(least, 1)),
-        "shared_address_tokens": shared.astype(np.int32),
-    }
-    return out | {c: v[back] for c, v in found.items()}
-
-
-def _shared(sets: list[set], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The number of members that the sets of each pair share."""
-    most = max(map(len, sets))
-    if most > MOST_TOKENS:
-        return np.array([len(sets[p] & sets[q]) for p, q in zip(x.tolist(), y.tolist())], np.int64)
-    numbers: dict[str, int] = {}
-    rows = [np.zeros((most, len(sets)), np.uint32) for _ in range(2)]  # what fills them up differs, so that it is never shared
-    rows[1] += 1
-    for k, s in enumerate(sets):
-        for r in rows:
-            r[: len(s), k] = [numbers.setdefault(t, len(numbers) + 2) for t in s]
-    if len(numbers) + 2 < 1 << 16:
-        rows = [r.astype(np.uint16) for r in rows]
-    out = np.zeros(len(x), np.int64)
-    for f in range(0, len(x), 4096):
-        a, b = (r[:, v[f : f + 4096]] for r, v in zip(rows, (x, y)))
-        for t in a:
-            out[f : f + 4096] += np.logical_or.reduce(b == t, axis=0)
-    return out
+        out[c] = equal([r[k] for r in records], i, j)
+    of = similarities([r[2] for r in records], i, j, block_ratios)
+    return out | {"shared_address_tokens": of.pop("shared")} | {f"address_{c}": v for c, v in of.items()}
