@@ -6,10 +6,13 @@ import time
 import numpy as np
 import pytest
 from helpers import rows_of
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkloom.functions import similarity
-from linkloom.operators import alike, blocking, features
+from linkloom.operators import alike, blocking, features, model, split
 from linkloom.operators.postings import prepared
+from linkloom.plans import queries
 from linkloom.schema import FEATURES
 
 
@@ -61,3 +64,58 @@ def test_features_by_blocks(records):
     assert found.columns == plain.columns == ["s1_id", "cand_id", *FEATURES]
     assert [f.dataType for f in found.schema] == [f.dataType for f in plain.schema]
     assert rows_of(found) == rows_of(plain) and plain.count() > 10_000 and plain.where("name_exact = 0").count() > 100
+
+
+@pytest.fixture(scope="module")
+def labelled(records):
+    """Blocks with true keys, some empty, and the same pairs row by row with their labels."""
+    canon = features.canonical_records(records).withColumn("truth", F.when(F.xxhash64("entity_id") % 3 != 0, F.concat(F.lit("k"), F.xxhash64("entity_id") % 40)).otherwise(""))
+    both = prepared(records).select("entity_id", "src", "name").join(canon.withColumnRenamed("name", "canonical"), "entity_id")
+    rows = features.with_records(blocking.exact_name(records), canon)
+    return blocking.named_alike(both, carry=(*alike.CARRIED, "truth")), features.compared(rows, similarity.equal(F.col("a.truth"), F.col("b.truth")).cast("int").alias("label")).cache()
+
+
+@pytest.mark.parametrize("per_positive", [3, 1000])
+def test_sample_by_blocks(labelled, per_positive):
+    blocks, plain = labelled
+    bins = alike.binned(blocks, 42)
+    own = F.when(F.col("label") == 1, -1).otherwise(split.digest_bin(42, "s1_id", "cand_id"))
+    assert rows_of(bins.groupBy("bin").agg(F.sum("n").alias("n"))) == rows_of(plain.groupBy(own.alias("bin")).agg(F.count("*").alias("n")))
+    some = alike.labelled(blocks, 42, split.last_bin(bins, per_positive))
+    assert rows_of(split.sample_negatives(some, per_positive)) == rows_of(split.sample_negatives(plain, per_positive))
+    assert 50 < plain.where("label = 1").count() < some.count() and (some.count() < plain.count()) == (per_positive == 3)
+
+
+def test_equal_features_are_scored_once(labelled):
+    blocks, plain = labelled
+    rows = alike.grouped(blocks)
+    assert rows_of(rows.select(F.inline("pairs"), *FEATURES)) == rows_of(plain.drop("label")) and rows.count() < plain.count() / 2
+    fitted = model.fit(plain, trees=3, depth=3, least=2)
+    assert rows_of(model.scored(fitted, rows).select(F.inline("pairs"), "score")) == rows_of(model.score(fitted, plain))
+
+
+def test_distinct_rows_of_one_mixed_number(monkeypatch):
+    """Kinds that are mixed into one number are told apart."""
+    columns = [np.array([0.0, 1.0, 0.0, 1.0, -0.0]), np.array([0.5, 0.5, 0.25, 0.5, 0.5])]
+    plain = alike._distinct(columns)
+    unique = np.unique
+    monkeypatch.setattr(alike.np, "unique", lambda x, **how: unique(np.zeros_like(x) if x.ndim == 1 else x, **how))
+    for first, code in (plain, alike._distinct(columns)):
+        assert len(first) == 3 and all((c[first[code]] == c).all() for c in columns)
+
+
+@pytest.mark.parametrize("query", ["gbt_scores", "gbt_expression"])
+def test_models_store_no_list_of_all_pairs(spark, sf, query, monkeypatch):
+    """What is stored has features of the sampled pairs and of the few of other layers alone."""
+    kept, stored = queries.kept, []
+
+    def watched(df: DataFrame) -> DataFrame:
+        out = kept(df)
+        if "address_ratio" in df.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(queries, "kept", watched)
+    found = queries.QUERIES[query](spark, sf)
+    pairs = queries.QUERIES["block_union"](spark, sf)
+    assert rows_of(found.select("s1_id", "cand_id")) == rows_of(pairs) and max(stored, default=0) < pairs.count()
